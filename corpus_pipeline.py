@@ -1,16 +1,67 @@
-"""Documents to tokens: toxicity, near duplicates, benchmark passages, secrets, tokens."""
+"""Documents to tokens: toxic documents, near duplicates and benchmark passages go, secrets are masked, the rest is encoded.
+
+Every stage but the last returns the columns of documents: doc_id, text, lang, source and n_chars. Other columns of the
+input, whatever their names, are left out by the first stage. Rows that share an id share their fate in the second stage.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.llm import decontamination, near_duplicates, secrets, sentencepiece_codec, toxicity
+from tidemark.llm.common import Scratch, per_text, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below one half; null and empty texts stay."""
+    docs = docs.select(*COLUMNS)
+    model = toxicity.learn(docs, toxicity.training_rows(table(spark, sf_dir, "labels")))
+    return toxicity.toxicity_scores(docs, model, score="score_").where("score_ < 0.5").drop("score_")
+
+
+def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near duplicates on 5-word shingles."""
+    docs = docs.select(*COLUMNS)
+    made = near_duplicates.near_duplicates(docs, k=5, percent=80)
+    gone = made.where(F.col("component_id") < F.col("id_")).select(F.col("id_").alias("gone_")).distinct()
+    return docs.join(gone, docs.doc_id == gone.gone_, "left_anti")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.without_benchmark(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by the kind in brackets; n_chars follows where a text changed."""
+    mask = per_text(secrets.redact, T.StringType(), pa.string())
+    made = docs.select(*COLUMNS).withColumn("new_", mask(F.col("text")))
+    size = F.when(F.col("new_") != F.col("text"), F.length("new_").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return made.select("doc_id", F.col("new_").alias("text"), "lang", "source", size)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, the ids, their number, and whether the ids read back as the text."""
+    made = sentencepiece_codec.encode_texts(docs, sentencepiece_codec.default_model(), keys=("doc_id", "lang", "source", "text"))
+    return made.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("reads_back"))
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxic), ("near duplicates", duplicates), ("benchmark", benchmark), ("secrets", masked), ("encoding", encoded)]
+#: MinHash, Aho-Corasick and BPE merges have no SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents, each written and read again."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.save(docs)
     return docs

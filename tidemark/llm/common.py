@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of text that one slice of an Arrow batch holds, unless a single text is longer.
 SLICE_BYTES = 4 << 20
@@ -73,3 +75,16 @@ def crc32_of_id(doc_id: Column | str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def per_text(function: Callable[[str | None], Any], kind: T.DataType, arrow: pa.DataType) -> Callable[[Column], Column]:
+    """A column function that calls ``function`` on each text of an Arrow batch."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([function(t) for t in texts.to_pylist()], type=arrow)
+
+    # Spark finds the kind of an Arrow function in its annotations, which have to be the classes themselves
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    held = F.arrow_udf(run, kind)
+    return lambda column: held(column.cast("string"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import topk_search
 from tidemark.llm.chat import op10_chat
+from tidemark.llm.decontamination import op8_decontamination
 from tidemark.llm.html_text import op4_html_text
 from tidemark.llm.language import op3_language
 from tidemark.llm.near_duplicates import op5_near_duplicates
@@ -19,7 +20,7 @@ from tidemark.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_language, op4_html_text, op5_near_duplicates, op6_sharding, op7_secrets, op9_toxicity, op10_chat)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_language, op4_html_text, op5_near_duplicates, op6_sharding, op7_secrets, op8_decontamination, op9_toxicity, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, crc32_of_id, slices, table
+from tidemark.llm.common import Scratch, crc32_of_id, per_text, slices, table
 
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 #: Least log-likelihood ratio of an entry, and least share of toxic texts among those that have it.
@@ -236,13 +236,7 @@ def _exceptions(held: DataFrame, model: ToxicityModel) -> frozenset[str]:
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with a column ``score``."""
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([model.score(t) for t in texts.to_pylist()], type=pa.float64())
-
-    # Spark finds the kind of an Arrow function in its annotations, which have to be the classes themselves
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.withColumn(score, F.arrow_udf(run, T.DoubleType())(F.col(text).cast("string")))
+    return docs.withColumn(score, per_text(model.score, T.DoubleType(), pa.float64())(F.col(text)))
 
 
 def training_rows(labels: DataFrame, key: str = "doc_id") -> DataFrame:
