@@ -5,10 +5,10 @@ the shingles; a second one, circularly shifted by 1, 2, 3, ..., gives every coor
 coordinates put sets into buckets: two sets at the threshold of 0.8 share none with a probability of about one in ten
 million. Sets in a bucket are compared in full; links join components.
 
-Equal sets are one class first, whatever their number. In a bucket, not all pairs are compared: the smallest member meets
-all others, and in later rounds only members outside the bucket's largest component meet the members of other components,
-a bounded number of them a round, until a bucket has one component or every pair across components has been compared. So
-no link between different components is lost, and near copies by the thousand cost a comparison each.
+Equal sets are one class first, whatever their number. In a bucket, the smallest member meets all others; where that links
+them all, as it does in most, the bucket is done. The sets of the other buckets come together in blocks, in which exact
+intersections of all members are a matrix product, and only edges that join them leave the task. So no pairs are written
+out and no link between different sets of a bucket is lost.
 
 Texts with fewer than k words have one shingle of them all; null texts and texts without words have the empty set and are
 linked with nothing. Rows that share an id are one document. A null id is never linked: its component is null, and it is
@@ -22,15 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, slices, table
 from tidemark.llm.components import components
 
 ROWS, BANDS = 5, 40
-#: Comparisons that one bucket makes in a round after the first, and the fewest members that then meet all others.
-ROUND_PAIRS, LEAST_PIVOTS = 65_536, 4
+#: Members of a bucket that are compared in one matrix product.
+BLOCK = 1024
 REMEMBERED = 400_000
 _words: dict[bytes, int] = {}
 
@@ -120,6 +120,102 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(near & (both * 100 >= (F.size("su") + F.size("sv") - both) * percent)).select("u", "v")
 
 
+def _local_links(sets: list[np.ndarray], first: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All similar pairs of a list of sets; with ``first`` above 0, those between the first sets and the others only."""
+    size = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    u, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(n > 1)
+    place = np.full(len(u), -1, dtype=np.int64)
+    place[shared] = np.arange(len(shared))
+    row, col = np.repeat(np.arange(len(sets)), size), place[at]
+    row, col = row[col >= 0], col[col >= 0]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    a, b = (slice(None), slice(None)) if not first else (slice(0, first), slice(first, None))
+    both = np.zeros((len(sets[a]), len(sets[b])), dtype=np.float32)
+    for start in range(0, len(shared), 4096):  # whole numbers below 2^24 are exact
+        lo, hi = np.searchsorted(col, [start, start + 4096])
+        held = np.zeros((len(sets), min(4096, len(shared) - start)), dtype=np.float32)
+        held[row[lo:hi], col[lo:hi] - start] = 1
+        both += held[a] @ held[b].T
+    i, j = np.nonzero(both * 100 >= percent * (size[a][:, None] + size[b][None] - both) - 1e-3)
+    j = j + first
+    fine = (i < j) | bool(first)
+    return i[fine], j[fine]
+
+
+def _spanning(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For rows sorted by bucket and pair of blocks, edges that join what is similar there and not yet linked."""
+
+    def edges(rep: list[int], linked: list[bool], side: list[bool], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        if len(rep) < 2:
+            return []
+        order = sorted(range(len(rep)), key=lambda k: side[k])
+        first = side.count(False) if any(side) else 0
+        if any(side) and not first:
+            return []
+        parent = list(range(len(order)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        hub = None  # members that are linked to the bucket's smallest are one component already
+        for k, o in enumerate(order):
+            if linked[o]:
+                if hub is not None:
+                    parent[k] = hub
+                else:
+                    hub = k
+        out = []
+        for i, j in zip(*(x.tolist() for x in _local_links([sets[o] for o in order], first, percent)), strict=True):
+            if (x := find(i)) != (y := find(j)):
+                parent[x] = y
+                out.append((rep[order[i]], rep[order[j]]))
+        return out
+
+    key, held = None, ([], [], [], [])
+    made: list[tuple[int, int]] = []
+    for batch in batches:
+        flat = batch.column("set_")
+        values, offsets = flat.values.to_numpy().view(np.uint64), flat.offsets.to_numpy()
+        columns = [batch.column(c).to_pylist() for c in ("band", "bi", "bj", "rep", "ok", "side")]
+        for r, (band, bi, bj, rep, ok, side) in enumerate(zip(*columns, strict=True)):
+            if (band, bi, bj) != key:
+                made += edges(*held)
+                key, held = (band, bi, bj), ([], [], [], [])
+            for column, value in zip(held, (rep, ok, side, values[offsets[r] : offsets[r + 1]]), strict=True):
+                column.append(value)
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in made]), pa.array([v for _, v in made])], names=["u", "v"])
+            made = []
+    if made := edges(*held):
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in made]), pa.array([v for _, v in made])], names=["u", "v"])
+
+
+def _within_buckets(rest: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges within buckets whose members aren't all linked to the smallest one.
+
+    Such a bucket's sets meet in one task, or, beyond BLOCK members, block by block, each pair of blocks in a task; there
+    all intersections are one matrix product. Only a spanning set of edges leaves the task, never pairs.
+    """
+    ok = linked.select(F.col("u").alias("pivot"), F.col("v").alias("rep"), F.lit(True).alias("ok"))
+    members = rest.where("rep <> pivot").join(ok, ["pivot", "rep"], "left").select("band", "rep", F.coalesce("ok", F.lit(False)).alias("ok"))
+    sizes = members.groupBy("band").agg(F.count("*").alias("m"), F.sum(F.col("ok").cast("long")).alias("n_ok"), F.sum(F.pmod(F.xxhash64("rep", "ok"), F.lit(1 << 40))).alias("of"))
+    # several bands often hold the same members
+    mixed = sizes.where("m > 1 and n_ok < m").groupBy("m", "n_ok", "of").agg(F.min("band").alias("band")).select("band", "m")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.hash("rep"), F.col("blocks")).cast("int")
+    dealt = members.join(mixed, "band").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # one block's pairs within itself, and those with every other block
+    dealt = dealt.select("band", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "rep", "ok", (F.col("own") > F.col("other")).alias("side"))
+    full = dealt.join(sets.withColumnRenamed("id_", "rep"), "rep").repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj")
+    return full.mapInArrow(lambda it: _spanning(it, percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id_, n_shingles and component_id of every row of ``docs``."""
     spark = docs.sparkSession
@@ -134,30 +230,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str
     pairs = scratch.save(rest.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct())
     active = pairs.select(F.col("u").alias("id_")).unionByName(pairs.select(F.col("v").alias("id_"))).distinct()
     sets = scratch.save(few.join(active, "id_", "left_semi").mapInArrow(lambda it: _sets(it, k), "id_ long, set_ array<long>"))
-    comps = components(_linked(pairs, sets, percent), scratch)
-    done = [pairs]
-    rest = rest.where("rep <> pivot").select("band", "rep")
-    while True:
-        of = F.coalesce("comp", "rep").alias("comp")
-        members = rest.join(comps, F.col("rep") == F.col("node"), "left").select("band", "rep", of)
-        each = members.groupBy("band", "comp").agg(F.count("*").alias("c"))
-        mixed = each.groupBy("band").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.sum("c").alias("m")).where("comps > 1").drop("comps")
-        rest = scratch.save(members.join(mixed, "band"))
-        order = Window.partitionBy("band").orderBy(F.xxhash64("rep"), "rep")
-        meets = F.row_number().over(order) <= F.greatest(F.lit(LEAST_PIVOTS), F.floor(F.lit(ROUND_PAIRS) / F.col("m")))
-        pivots = scratch.save(rest.where("comp <> main").withColumn("meets", meets).where("meets").select("band", F.col("rep").alias("u"), F.col("comp").alias("cu")))
-        if pivots.isEmpty():
-            break
-        met = pivots.join(rest.select("band", F.col("rep").alias("v"), F.col("comp").alias("cv")), "band").where("cu <> cv")
-        pairs = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        for old in done:
-            pairs = pairs.join(old, ["u", "v"], "left_anti")
-        pairs = scratch.save(pairs)
-        done.append(pairs)
-        held = scratch.save(_linked(pairs, sets, percent))
-        rest = rest.select("band", "rep").join(pivots.select("band", F.col("u").alias("rep")), ["band", "rep"], "left_anti")
-        if not held.isEmpty():
-            comps = components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(held), scratch)
+    linked = scratch.save(_linked(pairs, sets, percent))
+    edges = linked.unionByName(_within_buckets(rest, linked, sets, percent))
+    comps = components(edges, scratch)
     of = classes.join(comps, F.col("rep_") == F.col("node"), "left").select("digest_", F.coalesce("comp", "rep_").alias("comp_"))
     # rows that share an id are one document, with the smallest component of its texts
     return signed.join(of, "digest_", "left").select("id_", F.col("n_").alias("n_shingles"), F.when(F.col("id_").isNotNull(), F.coalesce("comp_", "id_")).alias("component_id"))
