@@ -39,7 +39,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by the kind in brackets; n_chars follows where a text changed."""
-    mask = per_text(secrets.redact, T.StringType(), pa.string())
+    mask = per_text(secrets.redact, T.StringType(), pa.string(), "secrets")
     made = docs.select(*COLUMNS).withColumn("new_", mask(F.col("text")))
     size = F.when(F.col("new_") != F.col("text"), F.length("new_").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return made.select("doc_id", F.col("new_").alias("text"), "lang", "source", size)

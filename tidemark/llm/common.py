@@ -18,6 +18,21 @@ from pyspark.sql import types as T
 SLICE_BYTES = 4 << 20
 
 
+#: What operators remember in a worker process, and how each forgets it.
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    _forget[name] = forget
+
+
+def take_turn(name: str) -> None:
+    """Python workers outlive a stage: what other operators remember in this one goes before ``name`` starts."""
+    dropped = [f() for other, f in _forget.items() if other != name]
+    if dropped:
+        pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -77,10 +92,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def per_text(function: Callable[[str | None], Any], kind: T.DataType, arrow: pa.DataType) -> Callable[[Column], Column]:
+def per_text(function: Callable[[str | None], Any], kind: T.DataType, arrow: pa.DataType, name: str = "") -> Callable[[Column], Column]:
     """A column function that calls ``function`` on each text of an Arrow batch."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        take_turn(name)
         for texts in batches:
             yield pa.array([function(t) for t in texts.to_pylist()], type=arrow)
 

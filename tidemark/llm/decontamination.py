@@ -29,15 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import per_text, table
+from tidemark.llm.common import per_text, remembers, table, take_turn
 
 SHINGLE, LEAST, RADIUS = 5, 0.8, 24
 ITEMS, CHARS = 20_000, 16 << 20
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 WORD = re.compile(r"[^\W_]+")
 #: Bit ranges of the RADIUS + 1 blocks.
 BLOCKS = [(k * 64 // (RADIUS + 1), (1 << (k + 1) * 64 // (RADIUS + 1) - k * 64 // (RADIUS + 1)) - 1) for k in range(RADIUS + 1)]
 _words: dict[str, int] = {}
+remembers("decontamination", _words.clear)
 
 
 def _word(w: str) -> int:
@@ -191,6 +192,7 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id",
         index = ItemIndex(block)
 
         def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
+            take_turn("decontamination")
             for batch in batches:
                 rows = [(j, *m) for j, t in enumerate(batch.column("text_").to_pylist()) for m in index.matches(t)]
                 if rows:
@@ -206,7 +208,7 @@ def without_benchmark(docs: DataFrame, items: DataFrame, *, text: str = "text",
     """The rows of ``docs`` that match no item."""
     for block in item_blocks(items, item, text):
         index = ItemIndex(block)
-        clean = per_text(lambda t, index=index: not index.matches(t), T.BooleanType(), pa.bool_())
+        clean = per_text(lambda t, index=index: not index.matches(t), T.BooleanType(), pa.bool_(), "decontamination")
         docs = docs.where(clean(F.col(text)))
     return docs
 

@@ -25,14 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, slices, table
+from tidemark.llm.common import Scratch, remembers, slices, table, take_turn
 from tidemark.llm.components import components
 
 ROWS, BANDS = 5, 40
 #: Members of a bucket that are compared in one matrix product.
 BLOCK = 1024
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _words: dict[bytes, int] = {}
+remembers("near_duplicates", _words.clear)
 
 
 def _mix64(h: np.ndarray) -> np.ndarray:
@@ -97,6 +98,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    take_turn("near_duplicates")
     for whole in batches:
         for batch in slices(whole, "text_"):
             sets = [shingles(t, k) for t in batch.column("text_").to_pylist()]
@@ -106,6 +108,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    take_turn("near_duplicates")
     for whole in batches:
         for batch in slices(whole, "text_"):
             yield pa.RecordBatch.from_arrays([batch.column("id_"), _lists([shingles(t, k) for t in batch.column("text_").to_pylist()])], names=["id_", "set_"])

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices, table
+from tidemark.llm.common import remembers, slices, table, take_turn
 
 SPACE = "▁"
 #: Distinct words whose ids a worker remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 BLOCK = 1 << 20
 
@@ -292,10 +292,12 @@ def _read(run: bytearray) -> bytes:
 
 
 _models: dict[int, PieceModel] = {}
+remembers("sentencepiece", _models.clear)
 
 
 def model_of(data: bytes) -> PieceModel:
     """One model a worker process."""
+    take_turn("sentencepiece")
     key = hash(data)
     if key not in _models:
         _models.clear()

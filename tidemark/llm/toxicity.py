@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, crc32_of_id, per_text, slices, table
+from tidemark.llm.common import Scratch, crc32_of_id, per_text, slices, table, take_turn
 
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 #: Least log-likelihood ratio of an entry, and least share of toxic texts among those that have it.
@@ -162,14 +162,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
 
 
 def _counted(batches: Iterator[pa.RecordBatch], only: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+    take_turn("toxicity")
     n: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), type=pa.int64())], names=["term", "n"])
+        n.clear()
+        return made
+
     for whole in batches:
         for batch in slices(whole, "text"):
             for t in batch.column("text").to_pylist():
                 got = terms_of(fold(t))
                 n.update(got if only is None else got & only)
+                if len(n) > 200_000:
+                    yield out()
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), type=pa.int64())], names=["term", "n"])
+        yield out()
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
@@ -236,7 +245,7 @@ def _exceptions(held: DataFrame, model: ToxicityModel) -> frozenset[str]:
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with a column ``score``."""
-    return docs.withColumn(score, per_text(model.score, T.DoubleType(), pa.float64())(F.col(text)))
+    return docs.withColumn(score, per_text(model.score, T.DoubleType(), pa.float64(), "toxicity")(F.col(text)))
 
 
 def training_rows(labels: DataFrame, key: str = "doc_id") -> DataFrame:
