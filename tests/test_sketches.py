@@ -155,7 +155,7 @@ def test_hydra_hand_case(spark):
 def test_hydra_tells_null_from_absent_and_escapes(spark):
     df = spark.createDataFrame([(None, "a;b"), ("x", "a;b")], "d1 string, d2 string")
     got = {r.subset: r.n for r in subpopulation.subsets(df, ["d1", "d2"], [F.count("*").alias("n")]).collect()}
-    assert got == {"d1=\\N": 1, "d1=x": 1, "d2=a\;b": 2, "d1=\\N;d2=a\;b": 1, "d1=x;d2=a\;b": 1}
+    assert got == {"d1=\\N": 1, "d1=x": 1, "d2=a\\;b": 2, "d1=\\N;d2=a\\;b": 1, "d1=x;d2=a\\;b": 1}
 
 
 def test_universal(spark, zipf):
