@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import decontamination, near_duplicates, secrets, sentencepiece_codec, toxicity
-from tidemark.llm.common import Scratch, per_text, table
+from tidemark.llm.common import Scratch, if_few, per_text, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,8 +28,8 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near duplicates on 5-word shingles."""
     docs = docs.select(*COLUMNS)
     made = near_duplicates.near_duplicates(docs, k=5, percent=80)
-    gone = made.where(F.col("component_id") < F.col("id_")).select(F.col("id_").alias("gone_")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone_, "left_anti")
+    gone = Scratch(spark).save(made.where(F.col("component_id") < F.col("id_")).select(F.col("id_").alias("gone_")).distinct())
+    return docs.join(if_few(gone), docs.doc_id == gone.gone_, "left_anti")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

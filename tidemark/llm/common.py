@@ -70,6 +70,15 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+#: Ids that a join may broadcast, some tens of megabytes; more are joined by a shuffle.
+FEW_IDS = 1_000_000
+
+
+def if_few(ids: DataFrame) -> DataFrame:
+    """The saved one-column table of ids, marked for broadcast if it has been counted to be small."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each piece holds about ``most`` bytes of ``column``, one row at least."""
     n = batch.num_rows

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, remembers, slices, table, take_turn
+from tidemark.llm.common import Scratch, if_few, remembers, slices, table, take_turn
 from tidemark.llm.components import components
 
 ROWS, BANDS = 5, 40
@@ -231,8 +231,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str
     least = buckets.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m")
     rest = scratch.save(buckets.join(least, "band"))  # buckets of two or more
     pairs = scratch.save(rest.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct())
-    active = pairs.select(F.col("u").alias("id_")).unionByName(pairs.select(F.col("v").alias("id_"))).distinct()
-    sets = scratch.save(few.join(active, "id_", "left_semi").mapInArrow(lambda it: _sets(it, k), "id_ long, set_ array<long>"))
+    active = scratch.save(pairs.select(F.col("u").alias("id_")).unionByName(pairs.select(F.col("v").alias("id_"))).distinct())
+    sets = scratch.save(few.join(if_few(active), "id_", "left_semi").mapInArrow(lambda it: _sets(it, k), "id_ long, set_ array<long>"))
     linked = scratch.save(_linked(pairs, sets, percent))
     edges = linked.unionByName(_within_buckets(rest, linked, sets, percent))
     comps = components(edges, scratch)
