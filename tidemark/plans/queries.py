@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing
-from tidemark.operators import cardinality, matrix, ordered, quantiles, sampling, sets, subpopulation, topk, universal
+from tidemark.operators import cardinality, matrix, ordered, quantiles, registry, sampling, sets, subpopulation, topk, universal
 from tidemark.operators.ensemble import Ensemble
 from tidemark.operators.matrix import MatrixConfig, count_sketch
 from tidemark.plans import sql as S
@@ -544,6 +544,17 @@ def nitro_cms_rescaled(s, d):
     return rounded(sampling.estimate(sketch, e, "user_id", CMS), "est")
 
 
+@query(f"WITH {S.matrix('events', 'user_id', 3, 4096)} SELECT CAST(row AS BIGINT) AS row, col, cnt FROM s")
+def sharded_cms(s, d):
+    return longs(registry.sharded(events(s, d), "user_id", "count_min", 4)[1], "row")
+
+
+@query(f"WITH r AS ({S.hll('events', 'user_id', by='event_type')}) {S.hll_classic('r', by='event_type')}")
+def sharded_hll(s, d):
+    whole = registry.sharded(events(s, d), "user_id", "hll", 4, by=["event_type"])[1]
+    return registry.family("hll").ask("card", whole, by=["event_type"])
+
+
 # Windows
 
 _DAY = "(SELECT *, date_trunc('day', ts) AS window_start FROM events)"
@@ -596,6 +607,13 @@ def session_windows(s, d):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
+@query(f"WITH r AS ({S.hll(_DAY, 'user_id', by='window_start')}) {S.hll_classic('r', by='window_start')}")
+def tumbling_hll(s, d):
+    panes = registry.family("hll").build(windows.with_pane(events(s, d), "ts", "1 day"), "user_id", ["window_start"])
+    out = registry.family("hll").ask("card", panes, by=["window_start"])
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 # Sets
 
 
