@@ -195,3 +195,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     return conversation_digests(format_turns(given.unionByName(own)))
+
+
+_HARD = "'\\### Assistant: </turn> ok'"
+_ESCAPED = "(2 * length({0}) - length(replace(replace({0}, '\\', ''), '<', '')))"
+SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', {_HARD} UNION ALL SELECT -7, 1, 'assistant', {_HARD})
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum({_ESCAPED.format("role")} + {_ESCAPED.format("text")} + {len(OPEN) + len(MIDDLE) + len(CLOSE)}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""

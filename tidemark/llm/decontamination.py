@@ -216,3 +216,19 @@ def without_benchmark(docs: DataFrame, items: DataFrame, *, text: str = "text",
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, with the item and the place."""
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id AS k, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id AS k, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bs AS (SELECT k, len(w) AS n, least(5, len(w)) AS z, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+bc AS (SELECT k, n, z, s, count(*) AS c FROM bs GROUP BY ALL),
+ds AS (SELECT k, z, i - 1 AS p, len(w) - z + 1 AS m, array_to_string(w[i:i + z - 1], ' ') AS s FROM (SELECT d.*, z, unnest(range(1, len(w) - z + 2)) AS i FROM d, (SELECT DISTINCT z FROM bs) WHERE len(w) >= z)),
+hit AS (SELECT DISTINCT ds.k AS doc, bc.k AS item, bc.n, bc.z, m, p FROM ds JOIN bc USING (z, s)),
+st AS (SELECT DISTINCT doc, item, n, z, least(greatest(t, 0), greatest(m - (n - z + 1), 0)) AS t FROM (SELECT *, unnest(range(p - (n - z), p + 1)) AS t FROM hit)),
+win AS (SELECT st.doc, st.item, st.t, ds.s, count(*) AS c FROM st JOIN ds ON ds.k = st.doc AND ds.z = st.z AND ds.p BETWEEN st.t AND st.t + st.n - st.z GROUP BY ALL),
+sz AS (SELECT doc, item, t, sum(c) AS a FROM win GROUP BY ALL),
+sh AS (SELECT doc, item, t, sum(least(win.c, bc.c)) AS common FROM win JOIN bc ON bc.k = win.item AND bc.s = win.s GROUP BY ALL),
+sim AS (SELECT sz.doc, sz.item, sz.t, common / (a + bn.n - common) AS s FROM sz JOIN sh USING (doc, item, t) JOIN (SELECT k, sum(c) AS n FROM bc GROUP BY k) bn ON bn.k = sz.item)
+SELECT doc AS doc_id, item AS item_id, CAST(t AS BIGINT) AS start_word, CAST(s AS DOUBLE) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc, item ORDER BY s DESC, t) AS r FROM sim WHERE s >= 0.8) WHERE r = 1
+"""

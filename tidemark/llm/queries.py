@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import topk_search
+from tidemark.llm import chat, decontamination, near_duplicates, topk_search
 from tidemark.llm.chat import op10_chat
 from tidemark.llm.decontamination import op8_decontamination
 from tidemark.llm.html_text import op4_html_text
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk_search.SQL}
+    return {"op2_topk": topk_search.SQL, "op5_near_duplicates": near_duplicates.SQL, "op8_decontamination": decontamination.SQL, "op10_chat": chat.SQL}
