@@ -97,14 +97,12 @@ def metrics(df: DataFrame, key: str, config: UnivConfig = UnivConfig(), *, weigh
     top = heavy(sketch, df, key, config, by=by)
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
     n = df.where(F.col(key).isNotNull()).groupBy(*by).agg(F.sum(w).alias("n"))
-    x = F.col("est").cast("double")
     got = None
     for name, g in (("l1", lambda c: c), ("l2s_", lambda c: c * c), ("xlog_", lambda c: c * F.log2(c)), ("card", lambda c: F.lit(1.0))):
         one = g_sum(top, config, g, by=by, name=name)
         got = one if got is None else got.join(one, by) if by else got.crossJoin(one)
     both = got.join(n, by) if by else got.crossJoin(n)
     entropy = F.log2(F.col("n").cast("double")) - F.col("xlog_") / F.col("n")
-    del x
     return both.select(*by, "n", "l1", F.sqrt(F.greatest("l2s_", F.lit(0.0))).alias("l2"), entropy.alias("entropy"), "card")
 
 
