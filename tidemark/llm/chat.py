@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, table
+from tidemark.llm.common import bounded_batches, slices, table
 
 OPEN, MIDDLE, CLOSE = b"<turn>", b"<text>", b"</turn>\n"
 TURN = re.compile(r"<turn>([^\\<]*(?:\\.[^\\<]*)*)<text>([^\\<]*(?:\\.[^\\<]*)*)</turn>\n", re.S)
@@ -83,6 +83,7 @@ TURNS = "conv_ {kind}, formatted string, chars long, loss boolean, loss_start lo
 def format_turns(rows: DataFrame) -> DataFrame:
     """Rows of conv_, turn_, role_, text_ with ``formatted`` and the text's place in it; each conversation's rows
     follow each other within one partition, in order."""
+    bounded_batches(rows.sparkSession)
     few = rows.select(F.col("conv_id").alias("conv_"), F.col("turn").alias("turn_"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role_"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_"))
     few = few.repartition("conv_").sortWithinPartitions(F.col("conv_").asc_nulls_first(), F.col("turn_").asc_nulls_first(), "role_", "text_")
     kind = dict(few.dtypes)["conv_"]

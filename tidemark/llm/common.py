@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text that one slice of an Arrow batch holds, unless a single text is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch, unless a single row is longer.
+BATCH_BYTES = 4 << 20
 
 
 #: What operators remember in a worker process, and how each forgets it.
@@ -33,6 +35,13 @@ def take_turn(name: str) -> None:
         pa.default_memory_pool().release_unused()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches count rows, however long; from now on they end by bytes, too, unless the session says how."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,6 +58,7 @@ class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor costs no more than a reread."""
 
     def __init__(self, spark: SparkSession):
+        bounded_batches(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
         self.count = 0
@@ -98,6 +108,7 @@ def crc32_of_id(doc_id: Column | str) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

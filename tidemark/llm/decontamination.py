@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import per_text, remembers, table, take_turn
+from tidemark.llm.common import bounded_batches, per_text, remembers, table, take_turn
 
 SHINGLE, LEAST, RADIUS = 5, 0.8, 24
 ITEMS, CHARS = 20_000, 16 << 20
@@ -184,6 +184,7 @@ def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[in
 
 def benchmark_matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """A row for each row of ``docs`` and item that match: ``key``, ``item``, start_word and similarity."""
+    bounded_batches(docs.sparkSession)
     out: DataFrame | None = None
     few = docs.select(key, F.col(text).cast("string").alias("text_"))
     item_kind = items.schema[item].dataType
@@ -206,6 +207,7 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id",
 
 def without_benchmark(docs: DataFrame, items: DataFrame, *, text: str = "text", item: str = "item_id") -> DataFrame:
     """The rows of ``docs`` that match no item."""
+    bounded_batches(docs.sparkSession)
     for block in item_blocks(items, item, text):
         index = ItemIndex(block)
         clean = per_text(lambda t, index=index: not index.matches(t), T.BooleanType(), pa.bool_(), "decontamination")

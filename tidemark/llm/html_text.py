@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices, table
+from tidemark.llm.common import bounded_batches, slices, table
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>""", re.S)
 ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -193,6 +193,7 @@ def main_text(page: str | None) -> str:
 
 def extract_text(pages: DataFrame, *, keys: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
     """The key columns and ``text`` of every row of ``pages``."""
+    bounded_batches(pages.sparkSession)
     few = pages.select(*keys, F.col(html).cast("string").alias("html_"))
     kind = T.StructType([*few.schema.fields[:-1], T.StructField("text", T.StringType())])
 

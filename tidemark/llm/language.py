@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, crc32_of_id, slices, table
+from tidemark.llm.common import Scratch, bounded_batches, crc32_of_id, slices, table
 
 PROFILE, SAMPLE, SIZES = 300, 400, (1, 2, 3)
 BLOCK = 1 << 20
@@ -149,6 +149,7 @@ def learn_profiles(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def identify(docs: DataFrame, profiles: Profiles, *, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The key columns, lang_pred and score of every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     few = docs.select(*keys, F.col(text).cast("string").alias("text_"))
     kind = T.StructType([*few.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

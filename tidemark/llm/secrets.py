@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices, table
+from tidemark.llm.common import bounded_batches, slices, table
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = KINDS[:3]
@@ -93,6 +93,7 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 def secret_spans(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The key columns and ``spans``: array of (kind, start, end); one row for each row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     few = docs.select(*keys, F.col(text).cast("string").alias("text_"))
     kind = T.StructType([*few.schema.fields[:-1], T.StructField("spans", SPANS)])
 

@@ -18,7 +18,6 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -27,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import remembers, slices, table, take_turn
+from tidemark.llm.common import bounded_batches, remembers, slices, table, take_turn
 
 SPACE = "▁"
 #: Distinct words whose ids a worker remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
+#: Pairs of tokens whose compatibility a worker remembers.
+PAIRS = 250_000
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 BLOCK = 1 << 20
 
@@ -98,7 +99,8 @@ class PieceModel:
         for p, k in code.items():
             self.automaton.add_word(p, (k, len(p)))
         self.automaton.make_automaton()
-        self.compatible = lru_cache(maxsize=1 << 18)(self._compatible)
+        #: Answers of ``compatible`` by both codes in one number.
+        self.known: dict[int, bool] = {}
 
     @staticmethod
     def _merged(parts: list[str], rank: dict[str, int], stop: int) -> list[str]:
@@ -113,7 +115,7 @@ class PieceModel:
             parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
         return kept if len(kept) == stop else []
 
-    def _compatible(self, a: int, b: int) -> bool:
+    def compatible(self, a: int, b: int) -> bool:
         """Whether the encoding of the texts of two tokens, side by side, is just these two."""
         pair, left, right, base = self.pair, self.left, self.right, self.n_base
         limit = len(self.text)
@@ -139,7 +141,9 @@ class PieceModel:
         n = len(span)
         last: list[int | None] = [None] * (n + 1)
         size = [1] * (n + 1)
-        ok = self.compatible
+        known, codes = self.known, len(self.text)
+        if len(known) >= PAIRS:
+            known.clear()
         last[0] = -1
         done = 0
         for end, (code, length) in self.automaton.iter(span):
@@ -152,7 +156,13 @@ class PieceModel:
                         if last[done] is None:
                             last[done] = -1 - ord(span[done - 1])
                     before = last[stop - length]
-                if before < 0 or ok(before, code):
+                if before >= 0:
+                    ok = known.get(key := before * codes + code)
+                    if ok is None:
+                        ok = known[key] = self.compatible(before, code)
+                else:
+                    ok = True
+                if ok:
                     last[stop] = code
                     size[stop] = length
         if None in last:
@@ -329,6 +339,7 @@ def encode_texts(docs: DataFrame, model_path: str, *, keys: tuple[str, ...] = ("
 
     with open(model_path, "rb") as f:
         data = f.read()
+    bounded_batches(docs.sparkSession)
     few = docs.select(*keys, F.col(text).cast("string").alias("text_"))
     kind = T.StructType([*few.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])])
     arrow = to_arrow_schema(kind)
@@ -340,6 +351,7 @@ def decode_ids(df: DataFrame, model_path: str, *, keys: tuple[str, ...] = ("doc_
     """The key columns and ``decoded``; null ids give an empty text."""
     with open(model_path, "rb") as f:
         data = f.read()
+    bounded_batches(df.sparkSession)
     few = df.select(*keys, F.col(ids).cast("array<int>").alias("ids_"))
     kind = T.StructType([*few.schema.fields[:-1], T.StructField("decoded", T.StringType())])
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, crc32_of_id, per_text, slices, table, take_turn
+from tidemark.llm.common import Scratch, bounded_batches, crc32_of_id, per_text, slices, table, take_turn
 
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 #: Least log-likelihood ratio of an entry, and least share of toxic texts among those that have it.
@@ -245,6 +245,7 @@ def _exceptions(held: DataFrame, model: ToxicityModel) -> frozenset[str]:
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with a column ``score``."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(score, per_text(model.score, T.DoubleType(), pa.float64(), "toxicity")(F.col(text)))
 
 
