@@ -124,6 +124,17 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+def test_article_marks_weigh_but_do_not_decide():
+    teaser = "<article class=card><a href=x>Another story, in short.</a></article>"
+    long = "<p>" + "Words of the story, and more of them. " * 8 + "</p>"
+    story = f"<h1>The story</h1>{long * 3}"
+    want = "\n\n".join(["The story", *[("Words of the story, and more of them. " * 8).strip()] * 3])
+    assert html_text.main_text(f"<body>{teaser}<div class=story>{story}</div>{teaser}</body>") == want
+    links = "<div class=more><a href=a>Older, by date</a>, <a href=b>newer, by date</a>, <a href=c>all of them</a></div>"
+    assert html_text.main_text(f"<body><main>{story}{links}</main><div>Some line.</div></body>") == want
+    assert html_text.main_text(f"<main>{story}<ul><li>Milk<li>Eggs</ul>{long}</main>") == want + "\n\nMilk\n\nEggs\n\n" + want.split("\n\n")[1]
+
+
 def test_pages_against_their_articles():
     import html
 

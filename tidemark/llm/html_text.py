@@ -4,8 +4,8 @@ A page becomes a list of blocks, each with its root-to-leaf path of block tags (
 the characters and the punctuation marks per block are aggregated; along the page these ratios are smoothed with the
 neighbouring blocks, fused into one figure and weighted by how much of the path's text is outside links. Paths below a
 threshold, relative to the page's best path, go. What the markup itself names as menu, header, footer, sidebar, notice,
-advert, form, comment, script or style never counts; where it marks the article, only paths inside can win, and there
-only paths made mostly of links lose.
+advert, form, comment, script or style never counts. Where it marks the article, paths inside weigh more and paths outside
+less, by the share of the page's text inside; all of them have to pass the threshold.
 
 Null and empty html give an empty text. Unclosed tags, comments and quotes are read as browsers do, roughly: a paragraph
 ends where the next block starts, an unclosed comment or script runs to the end. Pages are read whole.
@@ -44,6 +44,8 @@ SCOPE = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "html",
 SHARE = 0.15
 #: Paths with more than this share of their characters in links are lists of links.
 LINKS = 0.6
+#: Where all of a page's text is in its marked article, paths inside weigh so many times as much, and paths outside as much less.
+ARTICLE = 2.0
 #: Levels of nesting that paths tell apart.
 DEEPEST = 256
 MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -151,34 +153,32 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool, str, int]]:
     return out
 
 
-def content_paths(found: list[tuple[str, bool, bool, str, int]]) -> set[str]:
-    """The paths whose fused ratio passes."""
-    if any(inside and not never for _, never, inside, _, _ in found):
-        kept = [b for b in found if b[2] and not b[1]]
-        marked = True
-    else:
-        kept = [b for b in found if not b[1]]
-        marked = False
-    size, marks, count, linked = (defaultdict(float) for _ in range(4))
-    for path, _, _, text, n in kept:
-        size[path] += len(text)
-        marks[path] += len(MARKS.findall(text))
-        count[path] += 1
-        linked[path] += n
-    if marked:  # the article is known; only lists of links in it go
-        return {p for p in size if linked[p] <= LINKS * size[p] or not marks[p] == 0}
-    ratio = [(size[p] / count[p], marks[p] / count[p]) for p, *_ in kept]
-    best: dict[str, float] = defaultdict(float)
-    for k, (path, *_) in enumerate(kept):
+def content_paths(found: list[tuple[str, bool, bool, str, int]]) -> set[tuple[str, bool]]:
+    """The paths, each with whether it is inside the marked article, whose weighted ratio passes."""
+    kept = [((path, inside), text, n) for path, never, inside, text, n in found if not never]
+    size, marks, count, linked, plain = (defaultdict(float) for _ in range(5))
+    for key, text, n in kept:
+        size[key] += len(text)
+        marks[key] += len(MARKS.findall(text))
+        count[key] += 1
+        linked[key] += n
+        plain[key[1]] += max(0, len(text) - n)
+    # the mark of the article is worth as much as the share of the page's text that it holds: a marked teaser is worth little
+    trust = 1 + (ARTICLE - 1) * plain[True] / ((plain[True] + plain[False]) or 1.0)
+    ratio = [(size[key] / count[key], marks[key] / count[key]) for key, *_ in kept]
+    best: dict[tuple[str, bool], float] = defaultdict(float)
+    for k, (key, *_) in enumerate(kept):
         near = [(w, ratio[k + d]) for d, w in ((-2, 0.06), (-1, 0.24), (0, 0.4), (1, 0.24), (2, 0.06)) if 0 <= k + d < len(kept)]
         total = sum(w for w, _ in near)
         length, punctuation = (sum(w * r[j] for w, r in near) / total for j in (0, 1))
-        outside = 1 - min(1.0, linked[path] / size[path])
+        outside = 1 - min(1.0, linked[key] / size[key])
         # smoothing lends a heading the weight of its paragraphs, but a path must also stand for itself
-        fused = math.sqrt(length * (0.5 + punctuation)) * outside * math.sqrt(min(1.0, size[path] / count[path] / 20))
-        best[path] = max(best[path], fused)
+        fused = math.sqrt(length * (0.5 + punctuation)) * outside * math.sqrt(min(1.0, size[key] / count[key] / 20))
+        best[key] = max(best[key], fused)
     most = max(best.values(), default=0.0)
-    return {p for p, x in best.items() if x >= SHARE * most and x > 0 and linked[p] <= LINKS * size[p]}
+    # in the article, lists of links have no punctuation; elsewhere, they may
+    lists = {key for key in size if linked[key] > LINKS * size[key] and not (key[1] and marks[key])}
+    return {key for key, x in best.items() if x > 0 and key not in lists and (x * trust if key[1] else x / trust) >= SHARE * most}
 
 
 def main_text(page: str | None) -> str:
@@ -187,8 +187,7 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks_of(page)
     paths = content_paths(found)
-    marked = any(inside and not never for _, never, inside, _, _ in found)
-    return "\n\n".join(text for path, never, inside, text, _ in found if not never and (inside or not marked) and path in paths)
+    return "\n\n".join(text for path, never, inside, text, _ in found if not never and (path, inside) in paths)
 
 
 def extract_text(pages: DataFrame, *, keys: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
