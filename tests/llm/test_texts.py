@@ -135,6 +135,17 @@ def test_article_marks_weigh_but_do_not_decide():
     assert html_text.main_text(f"<main>{story}<ul><li>Milk<li>Eggs</ul>{long}</main>") == want + "\n\nMilk\n\nEggs\n\n" + want.split("\n\n")[1]
 
 
+def test_names_lower_but_do_not_veto():
+    side = "<div class='sidebar'><p>Popular today, and yesterday.</p></div><div id=comments><p>Nice, really.</p></div>"
+    for wrapper in ("div class='layout has-sidebar'", "div class=no-sidebar", "main class='content with-sidebar'", "div id=page-widget", "form id=form1"):
+        name = wrapper.split()[0]
+        assert html_text.main_text(f"<body><{wrapper}><div id=content>{ARTICLE * 2}</div>{side}</{name}></body>") == f"{WANT}\n\n{WANT}"
+    widget = f"<div class=page-widget>{ARTICLE}</div>"  # no one of them holds most of the text
+    assert html_text.main_text(f"<body>{widget * 3}</body>") == "\n\n".join([WANT] * 3)
+    comments = f"<div class=comments>{'<p>I agree, and more. So do we, too.</p>' * 3}</div>"
+    assert html_text.main_text(f"<body><div class='content no-sidebar'>{ARTICLE}</div>{comments}</body>").startswith(WANT)
+
+
 def test_pages_against_their_articles():
     import html
 

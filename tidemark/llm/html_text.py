@@ -3,9 +3,11 @@
 A page becomes a list of blocks, each with its root-to-leaf path of block tags (and classes) and its text. For every path
 the characters and the punctuation marks per block are aggregated; along the page these ratios are smoothed with the
 neighbouring blocks, fused into one figure and weighted by how much of the path's text is outside links. Paths below a
-threshold, relative to the page's best path, go. What the markup itself names as menu, header, footer, sidebar, notice,
-advert, form, comment, script or style never counts. Where it marks the article, paths inside weigh more and paths outside
-less, by the share of the page's text inside; all of them have to pass the threshold.
+threshold, relative to the page's best path, go. What tags and roles mark as menu, header, footer, sidebar, dialog, script
+or style never counts. Where classes, ids or a form tag name a menu, notice, advert, comment and the like, paths weigh a
+twentieth, unless elements in the named one hold most of the page's text: such names are of layouts and wrappers. Where
+the markup marks the article, paths inside weigh more and paths outside less, by the share of the page's text inside; all
+of them have to pass the threshold.
 
 Null and empty html give an empty text. Unclosed tags, comments and quotes are read as browsers do, roughly: a paragraph
 ends where the next block starts, an unclosed comment or script runs to the end. Pages are read whole.
@@ -31,10 +33,11 @@ ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([
 RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "ruby", "rt", "rp", "nobr"}
-NEVER = {"head", "script", "style", "title", "textarea", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "select", "option", "fieldset", "dialog", "iframe", "svg", "canvas", "object", "menu", "noembed", "noframes", "xmp", "audio", "video", "map"}
-NEVER_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
-NEVER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|notification|alert|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|widget|footer|header|masthead|topbar|comments?|commentlist|respond|discuss\w*|disqus\w*|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|form|search|toolbar|pagination|pager|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
+NEVER = {"head", "script", "style", "title", "textarea", "noscript", "template", "nav", "header", "footer", "aside", "button", "select", "option", "fieldset", "dialog", "iframe", "svg", "canvas", "object", "menu", "noembed", "noframes", "xmp", "audio", "video", "map"}
+NEVER_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar"}
+#: Words that name what is hardly ever main text, but not "no-sidebar" or "has-sidebar", which tell of a layout.
+NAME = re.compile(
+    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|notification|alert|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|widget|footer|header|masthead|topbar|comments?|commentlist|respond|discuss\w*|disqus\w*|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|form|search|toolbar|pagination|pager|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "figcaption", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -46,24 +49,32 @@ SHARE = 0.15
 LINKS = 0.6
 #: Where all of a page's text is in its marked article, paths inside weigh so many times as much, and paths outside as much less.
 ARTICLE = 2.0
+#: What names that tell against main text leave of a path's figure.
+NAMED = 0.05
 #: Levels of nesting that paths tell apart.
 DEEPEST = 256
 MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-def blocks_of(page: str) -> list[tuple[str, bool, bool, str, int]]:
-    """(path, never counts, inside the marked article, text, characters in links) of all blocks in page order."""
-    out: list[tuple[str, bool, bool, str, int]] = []
-    # an open tag: its name, the path so far, whether its content never counts, whether it is in the article
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, int, str, int]], list[int]]:
+    """(path, never counts, inside the marked article, named element, text, characters in links) of all blocks in page order.
+
+    Elements whose names tell against main text are numbered from 1 on; a block has the innermost one around it, or 0, and
+    that number negative where the text is the element's own. The second result has, for each of them, the next one around it.
+    """
+    out: list[tuple[str, bool, bool, int, str, int]] = []
+    around = [0]
+    # an open tag: its name, the path so far, whether its content never counts, whether it is in the article, the named element
+    stack: list[tuple[str, str, bool, bool, int]] = [("", "", False, False, 0)]
     parts: list[str] = []
     links = linked = 0
 
     def close() -> None:
         nonlocal linked
         if parts and (text := " ".join("".join(parts).split())):
-            _, path, never, inside = stack[-1]
-            out.append((path, never, inside, text, linked))
+            _, path, never, inside, named = stack[-1]
+            own = len(stack) > 1 and named != stack[-2][4]
+            out.append((path, never, inside, -named if own else named, text, linked))
         parts.clear()
         linked = 0
 
@@ -132,12 +143,15 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool, str, int]]:
         else:
             close()
         held = {a.lower(): (b or c or d or "") for a, b, c, d in ATTR.findall(attrs)} if attrs else {}
-        _, path, never, inside = stack[-1]
+        _, path, never, inside, named = stack[-1]
         names = f"{held.get('class', '')} {held.get('id', '')}"
         role = held.get("role", "").lower()
         body = name in ("html", "body")
         # a page's own header and the like may stand inside the article: they never count either
-        never = never or name in NEVER or role in NEVER_ROLE or "hidden" in held or (not body and bool(names.strip()) and bool(NEVER_NAME.search(names)))
+        never = never or name in NEVER or role in NEVER_ROLE or "hidden" in held
+        if not never and not body and (name == "form" or role == "form" or (names.strip() and NAME.search(names))):
+            around.append(named)
+            named = len(around) - 1
         inside = inside or name in ("article", "main") or role in ("main", "article")
         if name in RAW:
             close()
@@ -148,25 +162,36 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool, str, int]]:
             links = 0
         if len(stack) < DEEPEST:  # as browsers do, deeper tags count as their parent
             path += f"/{name}" + (f".{held['class'].split()[0]}" if held.get("class", "").split() else "")
-        stack.append((name, path, never, inside))
+        stack.append((name, path, never, inside, named))
     close()
-    return out
+    return out, around
+
+
+def told_against(found: list[tuple[str, bool, bool, int, str, int]], around: list[int]) -> list[bool]:
+    """For each named element, whether its name counts: not where elements in it hold more than half of the page's text outside links."""
+    held = [0.0] * len(around)
+    for _, never, inside, named, text, n in found:
+        if not never:
+            held[named if named >= 0 else around[-named]] += max(0, len(text) - n) * (ARTICLE if inside else 1)
+    for k in range(len(around) - 1, 0, -1):  # an element has a larger number than those around it
+        held[around[k]] += held[k]
+    return [k > 0 and 2 * x <= held[0] for k, x in enumerate(held)]
 
 
-def content_paths(found: list[tuple[str, bool, bool, str, int]]) -> set[tuple[str, bool]]:
-    """The paths, each with whether it is inside the marked article, whose weighted ratio passes."""
-    kept = [((path, inside), text, n) for path, never, inside, text, n in found if not never]
+def content_paths(found: list[tuple[str, bool, bool, int, str, int]], against: list[bool]) -> set[tuple[str, bool, bool]]:
+    """The paths, each with whether it is inside the marked article and named against, whose weighted ratio passes."""
+    kept = [((path, inside, against[abs(named)]), text, n) for path, never, inside, named, text, n in found if not never]
     size, marks, count, linked, plain = (defaultdict(float) for _ in range(5))
     for key, text, n in kept:
         size[key] += len(text)
         marks[key] += len(MARKS.findall(text))
         count[key] += 1
         linked[key] += n
-        plain[key[1]] += max(0, len(text) - n)
+        plain[key[1]] += max(0, len(text) - n) * (NAMED if key[2] else 1)
     # the mark of the article is worth as much as the share of the page's text that it holds: a marked teaser is worth little
     trust = 1 + (ARTICLE - 1) * plain[True] / ((plain[True] + plain[False]) or 1.0)
     ratio = [(size[key] / count[key], marks[key] / count[key]) for key, *_ in kept]
-    best: dict[tuple[str, bool], float] = defaultdict(float)
+    best: dict[tuple[str, bool, bool], float] = defaultdict(float)
     for k, (key, *_) in enumerate(kept):
         near = [(w, ratio[k + d]) for d, w in ((-2, 0.06), (-1, 0.24), (0, 0.4), (1, 0.24), (2, 0.06)) if 0 <= k + d < len(kept)]
         total = sum(w for w, _ in near)
@@ -174,7 +199,7 @@ def content_paths(found: list[tuple[str, bool, bool, str, int]]) -> set[tuple[st
         outside = 1 - min(1.0, linked[key] / size[key])
         # smoothing lends a heading the weight of its paragraphs, but a path must also stand for itself
         fused = math.sqrt(length * (0.5 + punctuation)) * outside * math.sqrt(min(1.0, size[key] / count[key] / 20))
-        best[key] = max(best[key], fused)
+        best[key] = max(best[key], fused * (NAMED if key[2] else 1))
     most = max(best.values(), default=0.0)
     # in the article, lists of links have no punctuation; elsewhere, they may
     lists = {key for key in size if linked[key] > LINKS * size[key] and not (key[1] and marks[key])}
@@ -185,9 +210,10 @@ def main_text(page: str | None) -> str:
     """The main text: content blocks in page order, two line ends between them."""
     if not page:
         return ""
-    found = blocks_of(page)
-    paths = content_paths(found)
-    return "\n\n".join(text for path, never, inside, text, _ in found if not never and (path, inside) in paths)
+    found, around = blocks_of(page)
+    against = told_against(found, around)
+    paths = content_paths(found, against)
+    return "\n\n".join(text for path, never, inside, named, text, _ in found if not never and (path, inside, against[abs(named)]) in paths)
 
 
 def extract_text(pages: DataFrame, *, keys: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
