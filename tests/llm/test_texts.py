@@ -155,6 +155,11 @@ def test_pages_against_their_articles():
         assert html_text.main_text(page) == "\n\n".join(z for z in parts if z)
 
 
+def test_end_tags_find_their_opener_at_any_depth():
+    assert html_text.main_text(f"<body><nav>{'<div>Home' * 2000}</nav><div>{ARTICLE}</div></body>") == WANT
+    assert html_text.main_text(f"<body><nav>{'<section><p>Home' * 2000}</nav>{ARTICLE}</body>") == WANT
+
+
 def test_hostile_html_is_linear():
     for page in ("<a " * 50_000, '<a "' * 50_000, "<p><b>" * 30_000, "<div class=x>" * 30_000, "</i>" * 50_000):
         html_text.main_text(page)

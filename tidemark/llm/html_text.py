@@ -66,6 +66,9 @@ def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, int, str, int]], l
     around = [0]
     # an open tag: its name, the path so far, whether its content never counts, whether it is in the article, the named element
     stack: list[tuple[str, str, bool, bool, int]] = [("", "", False, False, 0)]
+    # where in the stack the open tags of each name are, and those that end a search
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    scopes: list[int] = []
     parts: list[str] = []
     links = linked = 0
 
@@ -88,15 +91,15 @@ def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, int, str, int]], l
 
     def end(to: int) -> None:
         close()
+        for name, *_ in reversed(stack[to:]):
+            places[name].pop()
+            if name in SCOPE:
+                scopes.pop()
         del stack[to:]
 
     def find(names: tuple[str, ...], scope: bool) -> int:
-        for k in range(len(stack) - 1, max(0, len(stack) - 1 - 2 * DEEPEST), -1):
-            if stack[k][0] in names:
-                return k
-            if scope and stack[k][0] in SCOPE:
-                return 0
-        return 0
+        k = max((places[x][-1] for x in names if places.get(x)), default=0)
+        return 0 if scope and scopes and k < scopes[-1] else k
 
     at, n = 0, len(page)
     while at < n:
@@ -162,6 +165,9 @@ def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, int, str, int]], l
             links = 0
         if len(stack) < DEEPEST:  # as browsers do, deeper tags count as their parent
             path += f"/{name}" + (f".{held['class'].split()[0]}" if held.get("class", "").split() else "")
+        places[name].append(len(stack))
+        if name in SCOPE:
+            scopes.append(len(stack))
         stack.append((name, path, never, inside, named))
     close()
     return out, around
