@@ -1,7 +1,8 @@
 """Documents to tokens: toxic documents, near duplicates and benchmark passages go, secrets are masked, the rest is encoded.
 
 Every stage but the last returns the columns of documents: doc_id, text, lang, source and n_chars. Other columns of the
-input, whatever their names, are left out by the first stage. Rows that share an id share their fate in the second stage.
+input, whatever their names, are left out by the first stage. The second stage numbers the rows, so rows that share an id
+or have none are compared like any others.
 """
 
 from __future__ import annotations
@@ -25,11 +26,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates on 5-word shingles."""
-    docs = docs.select(*COLUMNS)
-    made = near_duplicates.near_duplicates(docs, k=5, percent=80)
-    gone = Scratch(spark).save(made.where(F.col("component_id") < F.col("id_")).select(F.col("id_").alias("gone_")).distinct())
-    return docs.join(if_few(gone), docs.doc_id == gone.gone_, "left_anti")
+    """One row of every group of near duplicates on 5-word shingles, that with the smallest id; null ids come last."""
+    scratch = Scratch(spark)
+    # written, since numbers may differ when rows are computed again
+    rows = scratch.save(docs.select(*COLUMNS).withColumn("row_", F.monotonically_increasing_id()))
+    made = near_duplicates.near_duplicates(rows, k=5, percent=80, key="row_").select(F.col("id_").alias("row_"), "component_id")
+    made = scratch.save(made.join(rows.select("row_", "doc_id"), "row_"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_"))
+    kept = made.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row_").alias("row_"))
+    gone = scratch.save(made.select("row_").join(kept, "row_", "left_anti").select(F.col("row_").alias("gone_")))
+    return rows.join(if_few(gone), rows.row_ == gone.gone_, "left_anti").select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

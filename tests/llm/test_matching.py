@@ -224,3 +224,13 @@ def test_pipeline_takes_edges(spark, docs_of, data):
         if name == "secrets":
             assert {r.doc_id: r.text for r in docs.collect()} == {0: None, 1: "", 2: "a b c d e f", 4: "[assign]", 5: "x" * 20_000}
     assert docs.count() == 5
+
+
+def test_pipeline_duplicates_go_by_row(spark, data):
+    same, near, other = "a b c d e f", " ".join(WORDS[:60]), "quite another text of some words"
+    rows = [(7, same), (7, same), (None, same), (None, same), (3, near), (5, near + " x"), (5, other), (None, "only here and nowhere else at all"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.duplicates(spark, docs, data)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    want = [(7, same), (3, near), (5, other), (None, "only here and nowhere else at all"), (None, None), (None, None)]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
