@@ -185,6 +185,14 @@ def test_toxicity_edges(spark, docs_of):
     assert bad.score("SCUMMY") == bad.score("5cum")
 
 
+def test_toxicity_learns_rare_terms_of_a_large_vocabulary(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TERMS", 5, raising=False)  # a cap that no longer exists
+    common = " ".join(WORDS[100:130])
+    docs = docs_of([common + (" scumbag" if i < 30 else "") for i in range(80)])
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, toxic int")
+    assert set(toxicity.learn(docs, labels).lexicon) == {" scumbag "}
+
+
 @pytest.fixture(scope="module")
 def staged(spark):
     folder = "/root/testdata/sf0.001"

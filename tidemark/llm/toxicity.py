@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,8 @@ from tidemark.llm.common import Scratch, bounded_batches, crc32_of_id, per_text,
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 #: Least log-likelihood ratio of an entry, and least share of toxic texts among those that have it.
 LEAST_RATIO, LEAST_PRECISION = 30.0, 0.7
-#: Candidate entries held on the driver, those in most toxic texts first.
-MOST_TERMS = 100_000
+#: Least number of toxic texts that hold an entry.
+LEAST_TEXTS = 3
 STEMS = range(3, 9)
 
 _LIKE = "аaеeоoрpсcхxуyіiјjѕsԁdһhкkмmтtвbнhαaεeοoρpνvιiκkτtυuχxωwΑaΒbΕeΖzΗhΙiΚkΜmΝnΟoΡpΤtΥyΧxАaВbЕeКkМmНhОoРpСcТtХxІiЅsЈjɑaɡgıiⅼlո" + "n"
@@ -161,24 +161,41 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
         use = [k for k in use if k not in low]
 
 
-def _counted(batches: Iterator[pa.RecordBatch], only: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     take_turn("toxicity")
-    n: Counter = Counter()
+    counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
-    def out() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), type=pa.int64())], names=["term", "n"])
-        n.clear()
-        return made
+    def out() -> Iterator[pa.RecordBatch]:
+        for y, n in counts.items():
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([y] * len(n)), pa.array(list(n.values()), type=pa.int64())], names=["term", "toxic", "n"])
+                n.clear()
 
     for whole in batches:
         for batch in slices(whole, "text"):
-            for t in batch.column("text").to_pylist():
-                got = terms_of(fold(t))
-                n.update(got if only is None else got & only)
-                if len(n) > 200_000:
-                    yield out()
-    if n:
-        yield out()
+            for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                counts[y].update(terms_of(fold(t)))
+                if sum(map(len, counts.values())) > 200_000:
+                    yield from out()
+    yield from out()
+
+
+def _texts(toxic: bool) -> Column:
+    """The number of toxic or clean texts, from rows of toxic and n."""
+    return F.coalesce(F.sum(F.when(F.col("toxic") == toxic, F.col("n"))), F.lit(0)).cast("long")
+
+
+def candidates(held: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """term, a, b: terms with the numbers of toxic and clean texts that hold them, where their log-likelihood ratio suffices."""
+
+    def part(x: Column) -> Column:
+        return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+
+    a, b, c, d = F.col("a").cast("double"), F.col("b").cast("double"), F.lit(float(n_toxic)), F.lit(float(n_clean))
+    ratio = 2 * (part(a) + part(c - a) + part(b) + part(d - b) + part(c + d) - part(c) - part(d) - part(a + b) - part(c + d - a - b))
+    made = held.select("text", "toxic").mapInArrow(_counted, "term string, toxic boolean, n long").groupBy("term").agg(_texts(True).alias("a"), _texts(False).alias("b"))
+    # choose_terms computes the ratio again; what rounding may change is left to it
+    return made.where((F.col("a") >= LEAST_TEXTS) & (a * d > b * c) & (ratio >= LEAST_RATIO - 1e-3))
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
@@ -197,14 +214,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     if not n.get(True) or not n.get(False):
         return ToxicityModel()
 
-    def count(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
-        return rows.select("text").mapInArrow(lambda it: _counted(it, only), "term string, n long").groupBy("term").agg(F.sum("n").cast("long").alias("n"))
-
-    least = 3
-    toxic = {r.term: r.n for r in count(held.where("toxic"), None).where(F.col("n") >= least).orderBy(F.desc("n"), F.desc(F.length("term")), "term").limit(MOST_TERMS).toLocalIterator()}
-    only = frozenset(toxic)
-    clean = {r.term: r.n for r in count(held.where("not toxic"), only).toLocalIterator()}
-    model = ToxicityModel(choose_terms(toxic, clean, n[True], n[False]))
+    rows = list(candidates(held, n[True], n[False]).toLocalIterator())
+    model = ToxicityModel(choose_terms({r.term: r.a for r in rows}, {r.term: r.b for r in rows}, n[True], n[False]))
     model.exceptions = _exceptions(held, model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +249,8 @@ def _exceptions(held: DataFrame, model: ToxicityModel) -> frozenset[str]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in n]), pa.array([y for _, y in n]), pa.array(list(n.values()), type=pa.int64())], names=["phrase", "toxic", "n"])
 
-    one = lambda y: F.coalesce(F.sum(F.when(F.col("toxic") == y, F.col("n"))), F.lit(0))
-    made = held.mapInArrow(run, "phrase string, toxic boolean, n long").groupBy("phrase").agg(one(False).alias("clean"), one(True).alias("bad"))
-    return frozenset(r.phrase for r in made.where("clean >= 5 and bad * 20 <= clean").orderBy(F.desc("clean"), "phrase").limit(MOST_TERMS).collect())
+    made = held.mapInArrow(run, "phrase string, toxic boolean, n long").groupBy("phrase").agg(_texts(False).alias("clean"), _texts(True).alias("bad"))
+    return frozenset(r.phrase for r in made.where("clean >= 5 and bad * 20 <= clean").collect())
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, text: str = "text", score: str = "score") -> DataFrame:
