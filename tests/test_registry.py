@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import registry
+from tidemark.operators import registry, universal
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +19,20 @@ def test_merged_groups_are_the_whole(df, name):
     assert {tuple(r) for r in merged.select(*whole.columns).collect()} == {tuple(r) for r in whole.collect()}
 
 
+@pytest.mark.parametrize("name", ["univmon", "pyramid"])
+def test_stored_layered_sketches_answer(df, name):
+    f = registry.family(name, "l2")
+    merged = f.merged(f.build(df, "k", ["g"]))
+    exact = universal.exact_metrics(df, "k").first()
+    for q in ("l1", "l2", "entropy", "card"):
+        assert abs(f.ask(q, merged).first()[q] - exact[q]) <= 0.2 * exact[q]
+
+
+def test_samples_say_how_many_rows_there_were(df):
+    got = registry.family("uniform").build(df, "v", ["g"]).collect()
+    assert len(got) == 30 and {r.seen for r in got} == {100}
+
+
 def test_what_cannot_be_raises(df):
     with pytest.raises(ValueError):
         registry.family("elastic")

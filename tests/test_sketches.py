@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import cardinality, matrix, ordered, quantiles, sampling, sets, subpopulation, topk, universal
+from tidemark.operators import cardinality, histogram, matrix, ordered, quantiles, sampling, sets, subpopulation, topk, universal
 from tidemark.operators.ensemble import Ensemble
 from tidemark.operators.matrix import MatrixConfig, count_sketch
 from tidemark.sources import tables
@@ -89,7 +89,7 @@ def test_topk_recall_and_hand_case(spark, zipf):
     assert sorted(r.est for r in topk.sketched(df, "key", 3, config, weight="w").collect()) == [30, 40, 50]
 
 
-@pytest.mark.parametrize(("p", "bound"), [(12, 0.03), (16, 0.02)])
+@pytest.mark.parametrize(("p", "bound"), [(12, 0.03), (14, 0.02), (16, 0.02)])
 def test_distinct_bounds(spark, p, bound):
     for n in (10, 1000, 50_000):
         sketch = cardinality.hll(spark.range(n), "id", p=p)
@@ -105,11 +105,50 @@ def test_hll_delta_restores(spark):
     assert {tuple(r) for r in merged.collect()} == {tuple(r) for r in after.collect()}
 
 
-def test_hip_has_no_merge(spark):
-    df = spark.range(3000).select(F.lit("x").alias("g"), F.col("id"), F.timestamp_seconds("id").alias("t"))
-    assert abs(ordered.hip(df, "id", "t", group="g").first().est - 3000) < 0.06 * 3000
+def walked_hip(rows, p):
+    """HIP by walking the rows in order."""
+    m = 1 << p
+    registers, s, est = {}, float(m), 0.0
+    for _, reg, rho in sorted(rows):
+        old = registers.get(reg, 0)
+        if rho > old:
+            est += m / s
+            s += 2.0**-rho - 2.0**-old
+            registers[reg] = rho
+    return est
+
+
+def test_hip_is_the_walk_and_has_no_merge(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "x").alias("g"), (F.col("id") % 1700).alias("k"), F.timestamp_seconds(F.col("id") / 3).alias("t"))
+    got = {r.g: r.est for r in cardinality.hip(df, "k", "t", by="g", p=8).collect()}
+    rows = cardinality.ranked(df, "k", 8, ["g", "t"]).toPandas()
+    assert got.keys() == {"x", None}
+    for g, est in got.items():
+        own = rows[rows.g.isna() if g is None else rows.g == g]
+        assert math.isclose(est, walked_hip(zip(own.t, own.reg.tolist(), own.rho.tolist(), strict=True), 8))
+    assert abs(cardinality.hip(df, "k", "t").first().est - 1700) < 0.03 * 1700
     with pytest.raises(ValueError):
-        ordered.refuse_merge(df, df)
+        cardinality.refuse_merge(df, df)
+
+
+def test_hll_ranges(spark):
+    large = spark.createDataFrame([(r, 26) for r in range(16)], "reg int, rho int")
+    raw = 0.673 * 256 / (16 * 2.0**-26)
+    assert cardinality.hll_classic(large, p=4).first().est == int(raw)
+    assert cardinality.hll_classic(large, p=4, large=True).first().est == int(-cardinality.RANGE * math.log(1 - raw / cardinality.RANGE))
+    with pytest.raises(ValueError):
+        cardinality.hll(large, "reg", p=3)
+    with pytest.raises(ValueError):
+        cardinality.kmv_merge(large, large, k=8, ks=[8, 16])
+
+
+def test_kmv_keeps_the_least_of_each_group(spark, monkeypatch):
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), (F.col("id") % 6000).alias("k"))
+    for held in (1 << 21, 100):
+        monkeypatch.setattr(cardinality, "HELD", held)
+        got = cardinality.kmv(df, "k", k=50, by="g")
+        want = {(r.g, r.hash) for r in cardinality._smallest(df.select("g", F.conv(F.substring(F.md5(F.col("k").cast("string")), 1, 13), 16, 10).cast("long").alias("hash")), 50, ["g"]).collect()}
+        assert {tuple(r) for r in got.collect()} == want and len(want) == 150
 
 
 def test_ddsketch(spark):
@@ -132,6 +171,21 @@ def test_kll_rank_error(spark, zipf):
         assert abs(np.searchsorted(values, r.value) / 50_000 - r.q) <= 0.02
 
 
+def test_kll_kinds_distribution_and_interpolation(spark):
+    values = np.random.default_rng(5).integers(0, 100_000, 20_000)
+    df = spark.createDataFrame(pd.DataFrame({"v": values, "g": np.where(values % 2, "a", None)}))
+    for kind in ("double", "bigint"):
+        sketch = quantiles.kll(df, "v", kind=kind)
+        for r in quantiles.kll_quantiles_interpolated(sketch, [0.05, 0.5, 0.95], kind=kind).collect():
+            assert abs((values <= r.value).mean() - r.q) <= 0.02
+    steps = quantiles.kll_cdf(quantiles.kll(df, "v", by="g"), by="g").toPandas()
+    assert set(steps.g.fillna("~")) == {"a", "~"}
+    for _, own in steps.sort_values("value").groupby(steps.g.fillna("~")):
+        assert own.fraction.is_monotonic_increasing and own.fraction.iloc[-1] == 1 and math.isclose(own.w.sum(), own.cum.max())
+    with pytest.raises(ValueError):
+        quantiles.kll(df, "v", k=3)
+
+
 def test_cdf_has_one_running_sum_whatever_the_partitions(spark):
     df = spark.createDataFrame(pd.DataFrame({"v": np.random.default_rng(4).integers(0, 500, 3000).astype(float)}))
     got = quantiles.cdf(quantiles.counts(df, "v")).orderBy("value").toPandas()
@@ -156,6 +210,10 @@ def test_hydra_tells_null_from_absent_and_escapes(spark):
     df = spark.createDataFrame([(None, "a;b"), ("x", "a;b")], "d1 string, d2 string")
     got = {r.subset: r.n for r in subpopulation.subsets(df, ["d1", "d2"], [F.count("*").alias("n")]).collect()}
     assert got == {"d1=\\N": 1, "d1=x": 1, "d2=a\\;b": 2, "d1=\\N;d2=a\\;b": 1, "d1=x;d2=a\\;b": 1}
+    df = spark.createDataFrame([(None, "a"), ("\\N", "a"), ("a\\", "a"), ("a;d2", "=")], "d1 string, d2 string")
+    keys = [r.subset for r in subpopulation.fanned(df, ["d1"], []).collect()]
+    assert sorted(keys) == sorted(["d1=\\N", "d1=\\\\N", "d1=a\\\\", "d1=a\\;d2"])
+    assert {r.subset for r in subpopulation.fanned(df, ["d1", "d2"], []).collect()} == {r.subset for r in subpopulation.subsets(df, ["d1", "d2"], [F.count("*").alias("n")]).collect()}
 
 
 def test_universal(spark, zipf):
@@ -168,6 +226,43 @@ def test_universal(spark, zipf):
     assert round(got.l1) == 30 and round(got.card) == 2
 
 
+def test_stored_layered_sketches_merge_and_answer(spark, zipf):
+    config = universal.UnivConfig(layers=6, rows=3, cols=512, k=16)
+    whole = universal.build(zipf, "key", config).cache()
+    parts = [universal.build(zipf.where(f"seq % 3 = {i}"), "key", config) for i in range(3)]
+    merged = universal.merge(*parts, config=config)
+    cells = lambda s: {tuple(r) for r in s.where("row > -2").collect()}
+    assert cells(merged) == cells(whole)
+    a, b = universal.ask(whole, config).first(), universal.ask(merged, config).first()
+    assert a.n == b.n == 20_000 and abs(a.l2 - b.l2) < 0.05 * a.l2 and abs(a.entropy - b.entropy) < 0.1 * a.entropy
+    assert {tuple(r) for r in universal.ask(whole, config).collect()} == {tuple(r) for r in universal.metrics(zipf, "key", config).collect()}
+
+
+def test_hydra_kinds(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame(pd.DataFrame({"a": rng.choice(["x", "y", None], 3000), "b": rng.integers(0, 3, 3000), "v": rng.uniform(1, 100, 3000), "k": rng.integers(0, 40, 3000)}))
+    grid, dims = MatrixConfig(rows=3, cols=256, salt="hydra"), ["a", "b"]
+    exact = subpopulation.subsets(df, dims, [F.count("*").alias("n"), F.percentile("v", 0.5).alias("mid"), F.countDistinct("k").alias("keys")]).toPandas().set_index("subset")
+    asked = spark.createDataFrame([(x,) for x in exact.index], "subset string")
+    halves = [df.where("k < 20"), df.where("k >= 20")]
+    config = universal.UnivConfig(layers=3, rows=3, cols=256, k=64)
+    for kind, make in (("ddsketch", subpopulation.dd_cells), ("kll", subpopulation.kll_cells), ("values", subpopulation.values)):
+        merged = subpopulation.merge(kind, *(make(h, dims, "v", grid=grid) for h in halves))
+        for r in subpopulation.query(kind, "quantile", merged, asked, [0.5], grid=grid).collect():
+            assert abs(r.value - exact.mid[r.subset]) < 6, (kind, r)
+        for r in subpopulation.query(kind, "cdf", merged, asked, [50.0], grid=grid).collect():
+            assert 0.4 < r.fraction < 0.6
+    univ = subpopulation.merge("univmon", *(subpopulation.univ_cells(h, dims, "k", config, grid=grid) for h in halves), config=config)
+    for r in subpopulation.query("univmon", "cardinality", univ, asked, config, grid=grid).collect():
+        assert abs(r.card - exact["keys"][r.subset]) <= 6
+    for r in subpopulation.query("univmon", "l1", univ, asked, config, grid=grid).collect():
+        assert abs(r.l1 - exact.n[r.subset]) <= 0.15 * exact.n[r.subset]
+    with pytest.raises(ValueError):
+        subpopulation.query("kll", "l1", univ, asked)
+    with pytest.raises(ValueError):
+        subpopulation.merge("counts", univ, asked)
+
+
 def test_nitro_is_unbiased_and_checks_rates(zipf):
     config = MatrixConfig(rows=5, cols=1024)
     sketch = sampling.build(zipf, "seq", "key", config, 0.2)
@@ -211,7 +306,65 @@ def test_elastic_and_coco_lose_nothing(spark):
     assert ordered.coco_estimate(ordered.coco_merge(table, table), "k").first().est == 1800
 
 
-def test_exponential_histogram():
+def test_elastic_and_coco_equal_a_walk(spark, zipf):
+    few = zipf.where("seq < 3000").withColumn("g", F.col("seq"))
+    built = ordered.elastic(few, "key", "seq").toPandas()
+    rows = few.select((F.conv(F.substring(F.md5(F.concat(F.lit("elastic:"), F.col("key").cast("string"))), 1, 8), 16, 10).cast("long") % 8).alias("b"), "key").orderBy("seq").collect()
+    heavy, light = {}, {}
+    for b, k in rows:
+        h = heavy.setdefault(b, [str(k), 0, 0, False])
+        if h[0] == str(k):
+            h[1] += 1
+            continue
+        h[2] += 1
+        if h[2] // h[1] < 8:
+            light[str(k)] = light.get(str(k), 0) + 1
+        else:
+            light[h[0]] = light.get(h[0], 0) + h[1]
+            heavy[b] = [str(k), 1, 1, True]
+    got = built[built.heavy_key.notna()]
+    assert {(r.bucket, r.heavy_key, r.positive, r.evicted) for r in got.itertuples()} == {(b, h[0], h[1], h[3]) for b, h in heavy.items()}
+    assert built[built.light_key.notna()].groupby("light_key").light.sum().to_dict() == light
+    exact = counts_of(few)
+    for r in ordered.elastic_query(ordered.elastic(few, "key", "seq"), few, "key").collect():
+        assert r.est >= exact[int(r.key)]
+    assert ordered.coco_estimate(ordered.coco(few, "key", width=8, depth=2, parts=2), "").first().est == 3000
+
+
+def test_built_in_summaries_are_near(spark, zipf):
+    exact = counts_of(zipf)
+    got = {r.key: r.cnt for r in topk.builtin(zipf, "key", 10).collect()}
+    assert set(got) == {k for k, _ in sorted(exact.items(), key=lambda x: -x[1])[:10]} and all(abs(n - exact[k]) <= 0.02 * 20_000 for k, n in got.items())
+    r = cardinality.builtin(zipf, "key").first()
+    assert all(abs(x - len(exact)) <= 0.08 * len(exact) for x in r)
+    r = sets.theta_overlap(zipf.where("seq < 12000"), zipf.where("seq >= 8000"), "key").first()
+    a, b = ({x.key for x in zipf.where(c).select("key").distinct().collect()} for c in ("seq < 12000", "seq >= 8000"))
+    for est, true in ((r.n_union, len(a | b)), (r.n_intersection, len(a & b)), (r.n_difference, len(a - b))):
+        assert abs(est - true) <= 0.05 * len(a | b)
+    few = subpopulation.keyed_merge(subpopulation.keyed(zipf.where("seq % 2 = 0").withColumn("g", F.col("key") % 3), "g", "seq"), subpopulation.keyed(zipf.where("seq % 2 = 1").withColumn("g", F.col("key") % 3), "g", "seq"))
+    for r in subpopulation.keyed_quantiles(few, zipf.select((F.col("key") % 3).alias("g")), "g", [0.5]).collect():
+        assert abs(r.value - 10_000) < 1000
+
+
+@pytest.mark.parametrize("k", [1, 4, 7, 8])
+def test_levels_are_those_of_single_inserts(spark, k):
+    sizes = [0, 1, 2, 3, 5, 8, 13, 40, 99, 700]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").withColumn("l", ordered.l1_levels(F.col("n"), k)).collect()
+    for n, levels in got:
+        h = ordered.ExponentialHistogram(k, 1e9)
+        for t in range(n):
+            h.update(t)
+        ends = [levels[i + 1].first if i + 1 < len(levels) else None for i in range(len(levels))]
+        made, at = [], 0
+        for x, end in zip(levels, ends, strict=True):
+            assert x.start == at
+            many = (n - at) // x.size if end is None else end - x.first
+            made += [x.size] * many
+            at += many * x.size
+        assert made[::-1] == [b[2] for b in h.buckets] and at == n
+
+
+def test_exponential_histogram(spark):
     h = ordered.ExponentialHistogram(8, 100)
     for t in range(1000):
         h.update(t)
@@ -219,6 +372,31 @@ def test_exponential_histogram():
     assert abs(n - 100) <= 100 / 4 and len(h.buckets) < 60
     with pytest.raises(ValueError):
         ordered.ExponentialHistogram(0, 1)
+    df = spark.range(500).select(F.when(F.col("id") % 2 == 0, 1.0).alias("g"), F.timestamp_seconds("id").alias("t"), F.lit(2.0).alias("v"))
+    whole = ordered.exponential_histogram(df, "g", "t", k=4, window=1e9, value="v").toPandas()
+    assert whole.cnt.sum() == 500 and whole.total.sum() == 1000 and whole.g.isna().any()
+    squares = ordered.exponential_histogram(df, "g", "t", k=4, window=1e9, value="v", norm="l2").toPandas()
+    assert squares.cnt.sum() == 500 and squares.g.isna().any() and len(squares) < 200
+    late = ordered.exponential_histogram(df, "g", "t", k=4, window=50).toPandas()
+    assert 50 <= late.cnt.sum() <= 100
+
+
+def test_histograms_hold_any_family(spark, zipf):
+    df = zipf.select(F.timestamp_seconds("seq").alias("t"), "key", F.when(F.col("key") % 2 == 0, "even").alias("g"))
+    built = histogram.sketches(df, "key", "count_min", "t", k=8, window=1e9, by=["g"]).cache()
+    whole = histogram.merged(built, "count_min", 0, 1e9, by=["g"])
+    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in matrix.build(df, "key", MatrixConfig(), by="g").collect()}
+    assert all(r.covered and r.min_time < 10 for r in histogram.cover(built, 10, 19_990, by=["g"]).collect())
+    part = histogram.merged(built, "count_min", 15_000, 19_999, by=["g"]).where("row = 0").agg(F.sum("cnt")).first()[0]
+    assert abs(part - 5000) <= 5000 / 4
+    config = universal.UnivConfig(layers=6, rows=3, cols=512, k=16)
+    maps, layered = histogram.hybrid(df, "key", "t", config, k=8, window=1e9, most_keys=200)
+    assert maps.select("bucket").distinct().count() > 0 < layered.select("bucket").distinct().count()
+    recent = histogram.hybrid_metrics(maps, layered, 19_990, 19_999, config).first()
+    old = histogram.hybrid_metrics(maps, layered, 0, 19_999, config).first()
+    assert recent.tier == "map" and recent.n >= 8 and old.tier == "sketch" and old.n == 20_000
+    exact = universal.exact_metrics(df, "key").first()
+    assert abs(old.l2 - exact.l2) <= 0.15 * exact.l2 and abs(old.entropy - exact.entropy) <= 0.15 * exact.entropy
 
 
 def test_windows_count_by_calendar(spark):
@@ -249,6 +427,52 @@ def test_sketches_keep_their_configuration(spark, zipf, tmp_path):
         tables.load_sketch(spark, str(tmp_path / "s"), MatrixConfig(cols=256))
 
 
+def test_null_groups_count_like_others(spark):
+    df = spark.createDataFrame([(g, k, i) for i, (g, k) in enumerate([(None, "a")] * 3 + [("x", "a")] * 2 + [(None, "b")])], "g string, k string, i long")
+    config = MatrixConfig(cols=64)
+    sketch = matrix.build(df, "k", config, by="g")
+    assert {tuple(r) for r in matrix.query(sketch, df, "k", config, by="g").collect()} == {(None, "a", 3), ("x", "a", 2), (None, "b", 1)}
+    assert matrix.delta(sketch, sketch, by="g").count() == 0
+    h = cardinality.hll(df, "k", by="g")
+    assert cardinality.hll_delta(h, h, by="g").count() == 0
+    assert {(r.g, r.est) for r in cardinality.hll_classic(h, by="g").collect()} == {(None, 2), ("x", 1)} == {(r.g, r.est) for r in cardinality.hll_ertl(h, by="g").collect()}
+    assert {(r.g, round(r.est)) for r in cardinality.kmv_estimate(cardinality.kmv(df, "k", by="g"), by="g").collect()} == {(None, 2), ("x", 1)}
+    dd = quantiles.ddsketch(df.withColumn("v", F.col("i") + 1.0), "v", by="g")
+    assert quantiles.dd_delta(dd, dd, by="g").count() == 0
+    assert {(r.g, r.n, r.sum) for r in quantiles.dd_summary(dd, by="g").collect()} == {(None, 4, 12.0), ("x", 2, 9.0)}
+    assert quantiles.dd_quantiles(dd, [0.5], by="g").count() == quantiles.dd_rank(dd, [3.0], by="g").count() == 2
+    assert {(r.g, r.n, round(r.card)) for r in universal.metrics(df, "k", by="g").collect()} == {(None, 4, 2), ("x", 2, 1)}
+    assert quantiles.uniform_sample(df, "i", 0.5, by="g").groupBy("g").count().where("g is null").first()["count"] == 2
+    assert {tuple(r) for r in topk.sketched(df, "k", 1, config, by="g").collect()} == {(None, "a", 3), ("x", "a", 2)}
+    assert quantiles.quantiles(quantiles.counts(df, "i", by="g"), [0.5], by="g").count() == quantiles.kll_quantiles(quantiles.kll(df, "i", by="g"), [0.5], by="g").count() == 2
+    assert sampling.build(df, "i", "k", config, 1.0, by="g").agg(F.sum("cnt")).first()[0] == 18
+    assert {(r.g, r.member) for r in sets.difference(sets.members(df, "k", by="g"), sets.members(df.where("g is null"), "k", by="g"), by="g").collect()} == {("x", "a")}
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.strip() for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+
+
+def test_builds_shuffle_cells_not_keys(spark, zipf):
+    config = MatrixConfig(cols=256)
+    df = zipf.withColumns({"a": F.col("key") % 3, "b": F.col("key") % 5})
+    builds = [
+        (matrix.build(df, "seq", config), "row"),
+        (matrix.build(df, "seq", count_sketch(cols=256), by="a"), "row"),
+        (cardinality.hll(df, "seq"), "reg"),
+        (Ensemble(cms=config).build(df, "seq"), "row"),
+        (universal._cells(df, "seq", universal.UnivConfig(), None, []), "layer"),
+        (subpopulation.frequency(df, ["a", "b"], "seq", config), "hrow"),
+        (subpopulation.distinct(df, ["a", "b"], "seq"), "hrow"),
+        (subpopulation.dd_cells(df, ["a", "b"], "seq"), "hrow"),
+        (sampling.build(df, "seq", "key", config, 0.5), "row"),
+    ]
+    for built, name in builds:
+        found = exchanges(built)
+        assert len(found) == 1 and f"hashpartitioning({name}" in found[0] or f", {name}" in found[0], found
+
+
 def run_stream(spark, out, name, mode):
     q = out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(120)
@@ -270,5 +494,32 @@ def test_streamed_histogram_counts_all(spark, tmp_path):
     df = windows.timed(tables.table(spark, "/root/testdata/sf0.001", "events"), "ts").select("ts", "event_type")
     df.write.parquet(str(tmp_path / "in"))
     live = windows.timed(tables.stream(spark, str(tmp_path / "in")), "ts")
-    got = run_stream(spark, windows.streaming_histogram(live, "event_type", "ts", k=8, window=1e9), "hist", "update")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # a time to live makes one batch follow another
+    got = run_stream(spark, windows.streaming_histogram(live, "event_type", "ts", k=8, window=1e9, ttl_ms=10**9), "hist", "update")
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert got.agg(F.sum("cnt")).first()[0] == df.count()
+    want = ordered.exponential_histogram(df, "event_type", "ts", k=8, window=1e9)
+    assert sorted(r.cnt for r in got.collect()) == sorted(r.cnt for r in want.collect())
+
+
+def test_live_sketches_answer_while_they_run(spark, tmp_path):
+    df = windows.timed(tables.table(spark, "/root/testdata/sf0.001", "events"), "ts").select("ts", "user_id")
+    df.write.parquet(str(tmp_path / "in"))
+    config = MatrixConfig(rows=2, cols=64)
+    stream = windows.timed(tables.stream(spark, str(tmp_path / "in")), "ts")
+    query, read = windows.live(windows.matrix_panes(stream, "ts", "1 day", "user_id", config), "live_panes")
+    try:
+        query.processAllAvailable()
+        assert query.isActive
+        got = matrix.query(windows.matrix_of(read()), df, "user_id", config)
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in matrix.query(matrix.build(df, "user_id", config), df, "user_id", config).collect()}
+    finally:
+        query.stop()
+
+
+def test_streamed_samples_are_those_of_the_batch(spark, tmp_path):
+    df = tables.table(spark, "/root/testdata/sf0.001", "events").select("event_id", "user_id")
+    df.write.parquet(str(tmp_path / "in"))
+    config = MatrixConfig(rows=3, cols=64)
+    got = run_stream(spark, sampling.build(tables.stream(spark, str(tmp_path / "in")), "event_id", "user_id", config, 0.5), "nitro", "complete")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in sampling.build(df, "event_id", "user_id", config, 0.5).collect()}

@@ -33,13 +33,43 @@ def digest(key: Column, profile: str = "md5", salt: str = "") -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(text)), 16, "0"), F.lpad(F.hex(F.xxhash64(text, F.lit(1))), 16, "0")))
 
 
+def halves(digest: Column) -> tuple[Column, Column]:
+    """A digest's 32 hex digits as two numbers of 64 bits, signed; one conversion each."""
+    number = lambda start: F.conv(F.substring(digest, start, 16), 16, -10).cast("long")
+    return number(1), number(17)
+
+
+def key_halves(key: Column, profile: str = "md5", salt: str = "") -> tuple[Column, Column]:
+    """``halves`` of a key's digest; xxhash64 gets there without any text of digits."""
+    if profile == "md5":
+        return halves(digest(key, profile, salt))
+    text = F.concat(F.lit(salt), canonical(key)) if salt else canonical(key)
+    return F.xxhash64(text), F.xxhash64(text, F.lit(1))
+
+
+def words(a: Column, b: Column) -> Column:
+    """The first 30 hex digits as three numbers of 12, the last with zeros behind: what cells are cut from."""
+    middle = F.shiftleft(a.bitwiseAND(F.lit(0xFFFF)), 32).bitwiseOR(F.shiftrightunsigned(b, 32))
+    return F.array(F.shiftrightunsigned(a, 16), middle, F.shiftleft(F.shiftrightunsigned(b, 8).bitwiseAND(F.lit(0xFFFFFF)), 24))
+
+
+def key_words(key: Column, profile: str = "md5", salt: str = "") -> Column:
+    return words(*key_halves(key, profile, salt))
+
+
+def piece(h: Column, row: Column) -> Column:
+    """24 bits of the words for each of five rows."""
+    word = F.get(h, (row / 2).cast("int"))
+    return F.when(row % 2 == 0, F.shiftright(word, 24)).otherwise(word.bitwiseAND(F.lit(0xFFFFFF)))
+
+
 def fast_col(h: Column, row: Column, cols: int | Column) -> Column:
-    """Column of a matrix row by bits of the one digest."""
-    return hex_slice(h, row * 6 + 1, 5) % cols
+    """Column of a matrix row by bits of the one digest, given as words."""
+    return F.shiftright(piece(h, row), 4) % cols
 
 
 def fast_sign(h: Column, row: Column) -> Column:
-    return F.when(hex_slice(h, row * 6 + 6, 1) % 2 == 1, 1).otherwise(-1).cast("long")
+    return F.when(piece(h, row) % 2 == 1, 1).otherwise(-1).cast("long")
 
 
 def row_digest(key: Column, row: Column, profile: str = "md5", salt: str = "") -> Column:
@@ -53,8 +83,3 @@ def regular_col(h: Column, cols: int | Column) -> Column:
 
 def regular_sign(h: Column) -> Column:
     return F.when(hex_slice(h, 9, 1) % 2 == 1, 1).otherwise(-1).cast("long")
-
-
-def unit(h: Column) -> Column:
-    """A number in [0, 1) from 13 hex digits."""
-    return hex_slice(h, 1, 13).cast("double") / float(1 << 52)

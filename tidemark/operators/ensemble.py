@@ -15,7 +15,7 @@ from tidemark.operators.matrix import MatrixConfig
 class Ensemble:
     """Named matrix sketches of one shape and one HyperLogLog, all fed by the same digest."""
 
-    def __init__(self, *, p: int = 12, **members: MatrixConfig):
+    def __init__(self, *, p: int = cardinality.P, **members: MatrixConfig):
         if not members:
             raise ValueError("an ensemble has members")
         shapes = {(c.rows, c.cols, c.fast, c.profile, c.salt) for c in members.values()}
@@ -26,8 +26,8 @@ class Ensemble:
     def build(self, df: DataFrame, key: str, *, weight: str | None = None) -> DataFrame:
         """(sketch, row, col, cnt): row is -1 for the HyperLogLog, whose col is the register and cnt the rank."""
         shape = next(iter(self.members.values()))
-        counts = matrix.hashed(matrix.summed(df, key, weight), "key_", shape)
-        reg, rho = cardinality.reg_rho(F.col("h_"), self.p)
+        counts = matrix.hashed(matrix.weighted(df, key, weight), "key_", shape)
+        reg, rho = cardinality.reg_rho(cardinality.of_words(F.col("h_")), self.p)
         structs = [F.struct(F.lit("hll").alias("sketch"), F.lit(-1).alias("row"), reg.cast("long").alias("col"), rho.cast("long").alias("v"))]
         for r in range(shape.rows):
             row = F.lit(r)

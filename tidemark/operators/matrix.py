@@ -1,8 +1,9 @@
 """Counter-matrix sketches as rows: Count-Min, Count Sketch, their L2 form and the folded forms.
 
 A sketch is the relation (groups..., row, col, cnt), with no row for a zero cell. Building, merging and querying are
-aggregations and joins: map-side partial sums shrink every build to at most rows x cols x groups x tasks rows before its
-shuffle, whatever the input. Input is summed by key first, so each distinct key is hashed once.
+aggregations and joins: every input row is hashed where it is read and its cells are summed in the map task, so a build has
+one shuffle of at most rows x cols x groups x tasks rows, whatever the input and its keys. Null keys don't count; null
+groups are groups like any others.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import hashing
+from tidemark.functions import groups, hashing
+from tidemark.functions.groups import names as _names
 
 
 @dataclass(frozen=True)
@@ -49,14 +51,14 @@ def count_sketch(**options) -> MatrixConfig:
     return replace(MatrixConfig(**options), signed=True)
 
 
-def _names(by: Sequence[str] | str | None) -> list[str]:
-    return [by] if isinstance(by, str) else list(by or ())
-
-
 def hashed(df: DataFrame, key: str | Column, config: MatrixConfig) -> DataFrame:
     """``df`` with a column ``h_`` that every later step of the fast path shares."""
     key = F.col(key) if isinstance(key, str) else key
-    return df.withColumn("h_", hashing.digest(key, config.profile, config.salt) if config.fast else hashing.canonical(key))
+    if not config.fast:
+        return df.withColumn("h_", hashing.canonical(key))
+    a, b = hashing.key_halves(key, config.profile, config.salt)
+    # the halves are columns of their own, so that each digest is made once
+    return df.withColumns({"a_": a, "b_": b}).withColumn("h_", hashing.words(F.col("a_"), F.col("b_"))).drop("a_", "b_")
 
 
 def cells(df: DataFrame, config: MatrixConfig) -> DataFrame:
@@ -70,29 +72,40 @@ def cells(df: DataFrame, config: MatrixConfig) -> DataFrame:
     return many.withColumn("sign_", hashing.regular_sign(F.col("h_"))) if config.signed else many
 
 
+def _weight(weight: str | Column | None) -> Column:
+    return F.lit(1).cast("long") if weight is None else F.col(weight) if isinstance(weight, str) else weight
+
+
 def summed(df: DataFrame, key: str, weight: str | Column | None = None, by: Sequence[str] | str | None = None) -> DataFrame:
-    """(groups..., key_, w_): weights by key; null keys go."""
-    w = F.lit(1).cast("long") if weight is None else F.col(weight) if isinstance(weight, str) else weight
-    return df.where(F.col(key).isNotNull()).groupBy(*_names(by), F.col(key).alias("key_")).agg(F.sum(w).alias("w_"))
+    """(groups..., key_, w_): exact weights by key; null keys go. This shuffles keys; sketches don't need it."""
+    return weighted(df, key, weight, by).groupBy(*_names(by), "key_").agg(F.sum("w_").alias("w_"))
+
+
+def weighted(df: DataFrame, key: str, weight: str | Column | None = None, by: Sequence[str] | str | None = None) -> DataFrame:
+    """(groups..., key_, w_) of every row with a key."""
+    return df.where(F.col(key).isNotNull()).select(*_names(by), F.col(key).alias("key_"), _weight(weight).alias("w_"))
 
 
 def build(df: DataFrame, key: str, config: MatrixConfig, *, weight: str | Column | None = None, by: Sequence[str] | str | None = None) -> DataFrame:
     """The sketch of a column: a bulk insert of every row with its weight (1 if none is given)."""
-    return from_counts(summed(df, key, weight, by), config, by=by)
+    return from_counts(weighted(df, key, weight, by), config, by=by)
 
 
 def from_counts(counts: DataFrame, config: MatrixConfig, *, by: Sequence[str] | str | None = None) -> DataFrame:
-    """The sketch of (groups..., key_, w_)."""
-    w = F.col("sign_") * F.col("w_") if config.signed else F.col("w_")
-    return cells(hashed(counts, "key_", config), config).groupBy(*_names(by), "row", "col").agg(F.sum(w).alias("cnt")).where("cnt <> 0")
+    """The sketch of (groups..., key_, w_); keys may repeat."""
+    return _added(hashed(counts, "key_", config), config, _names(by))
 
 
 def from_hashes(df: DataFrame, config: MatrixConfig, *, hash_column: str, weight: str | None = None, by: Sequence[str] | str | None = None) -> DataFrame:
     """The sketch of digests that were computed before."""
-    w = F.lit(1).cast("long") if weight is None else F.col(weight)
-    few = df.where(F.col(hash_column).isNotNull()).select(*_names(by), F.col(hash_column).alias("h_"), w.alias("w_"))
+    h = F.col(hash_column)
+    given = df.where(h.isNotNull()).select(*_names(by), (hashing.words(*hashing.halves(h)) if config.fast else h).alias("h_"), _weight(weight).alias("w_"))
+    return _added(given, config, _names(by))
+
+
+def _added(given: DataFrame, config: MatrixConfig, by: list[str]) -> DataFrame:
     w = F.col("sign_") * F.col("w_") if config.signed else F.col("w_")
-    return cells(few, config).groupBy(*_names(by), "row", "col").agg(F.sum(w).alias("cnt")).where("cnt <> 0")
+    return cells(given, config).groupBy(*by, "row", "col").agg(F.sum(w).alias("cnt")).where("cnt <> 0")
 
 
 def merge(*sketches: DataFrame, configs: Sequence[MatrixConfig] = (), by: Sequence[str] | str | None = None) -> DataFrame:
@@ -110,19 +123,35 @@ def roll_up(sketch: DataFrame, *, by: Sequence[str] | str | None = None) -> Data
     return sketch.groupBy(*_names(by), "row", "col").agg(F.sum("cnt").alias("cnt")).where("cnt <> 0")
 
 
-AGGREGATES = {"min": F.min, "max": F.max, "median": F.median, "sum": F.sum, "mean": F.avg}
+#: Cells of a sketch without groups up to which probes get it whole; some tens of megabytes.
+BROADCAST_CELLS = 1 << 20
+
+
+def over_rows(found: DataFrame, keys: Sequence[str | Column], rows: int, value: Column, how: dict[str, str]) -> DataFrame:
+    """(keys..., estimates...) of (keys..., row, value): one pass gives any number of aggregates over a key's counters."""
+    per = found.groupBy(*keys).agg(*(F.max(F.when(F.col("row") == r, value)).alias(f"v{r}_") for r in range(rows)))
+    held = F.array(*(F.col(f"v{r}_") for r in range(rows)))
+    ordered = F.array_sort(held)
+    middle = (F.get(ordered, F.lit((rows - 1) // 2)) + F.get(ordered, F.lit(rows // 2))) / 2
+    total = sum((F.col(f"v{r}_") for r in range(1, rows)), F.col("v0_"))
+    made = {"min": F.array_min(held), "max": F.array_max(held), "median": middle.cast("double"), "sum": total, "mean": total / rows}
+    if unknown := set(how.values()) - made.keys():
+        raise ValueError(f"no such aggregate: {', '.join(sorted(unknown))}")
+    return per.select(*(c for c in per.columns if c not in {f"v{r}_" for r in range(rows)}), *(made[h].alias(n) for n, h in how.items()))
 
 
-def query(sketch: DataFrame, probes: DataFrame, key: str, config: MatrixConfig, *, how: str | None = None, by: Sequence[str] | str | None = None, est: str = "est") -> DataFrame:
+def query(sketch: DataFrame, probes: DataFrame, key: str, config: MatrixConfig, *, how: str | dict[str, str] | None = None, by: Sequence[str] | str | None = None, est: str = "est") -> DataFrame:
     """(groups..., key, est) for every distinct probe. ``how`` defaults to the minimum for Count-Min and the median of
-    the signed counters for Count Sketch; ``max``, ``sum`` and ``mean`` are there as well. Cells without a row are 0."""
+    the signed counters for Count Sketch; ``max``, ``sum`` and ``mean`` are there as well, and several at a time by name.
+    Cells without a row are 0. A sketch without groups has a bounded size and is broadcast; others are joined."""
     how = how or ("median" if config.signed else "min")
     by = _names(by)
     asked = probes.where(F.col(key).isNotNull()).select(*by, F.col(key).alias("key_")).distinct()
-    found = cells(hashed(asked, "key_", config), config).join(sketch, [*by, "row", "col"], "left")
+    held = F.broadcast(sketch) if not by and config.rows * config.cols <= BROADCAST_CELLS else sketch
+    found = groups.join(cells(hashed(asked, "key_", config), config), held, by, ["row", "col"], "left")
     cnt = F.coalesce("cnt", F.lit(0))
     cnt = cnt * F.col("sign_") if config.signed else cnt
-    return found.groupBy(*by, F.col("key_").alias(key)).agg(AGGREGATES[how](cnt).alias(est))
+    return over_rows(found, [*by, F.col("key_").alias(key)], config.rows, cnt, how if isinstance(how, dict) else {est: how})
 
 
 def l2_squared(sketch: DataFrame, *, by: Sequence[str] | str | None = None, name: str = "l2_sqr") -> DataFrame:
@@ -141,7 +170,7 @@ def row_norms(sketch: DataFrame, *, by: Sequence[str] | str | None = None) -> Da
 def delta(current: DataFrame, previous: DataFrame, *, threshold: int = 1, by: Sequence[str] | str | None = None) -> DataFrame:
     """Cells that changed by ``threshold`` or more, as (groups..., row, col, cnt)."""
     keys = [*_names(by), "row", "col"]
-    both = current.select(*keys, F.col("cnt").alias("c_")).join(previous.select(*keys, F.col("cnt").alias("p_")), keys, "full_outer")
+    both = groups.join(current.select(*keys, F.col("cnt").alias("c_")), previous.select(*keys, F.col("cnt").alias("p_")), _names(by), ["row", "col"], "full_outer")
     d = F.coalesce("c_", F.lit(0)) - F.coalesce("p_", F.lit(0))
     return both.select(*keys, d.alias("cnt")).where((F.abs("cnt") >= threshold) & (F.col("cnt") != 0))
 

@@ -1,8 +1,9 @@
-"""Algorithms whose result depends on the order of arrival: HIP, Elastic, Coco and exponential histograms.
+"""Algorithms whose result depends on the order of arrival: Elastic, Coco and exponential histograms.
 
-Each is an ordered fold over one group's rows, so rows are grouped by what the algorithm partitions by anyway (bucket,
-table part, stream) and sorted by time; the fold holds only the sketch's own bounded state. Groups come as Arrow batches
-of a sorted partition, never whole.
+Elastic, Coco and the L2 rule are ordered folds over one group's rows, so rows are grouped by what the algorithm partitions
+by anyway (bucket, table part, stream) and sorted by time; the fold holds only the sketch's own bounded state and passes on
+the rest as it comes. Groups come as Arrow batches of a sorted partition, never whole. The L1 rule has a closed form and
+needs no fold.
 """
 
 from __future__ import annotations
@@ -11,68 +12,53 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.functions import hashing
-from tidemark.operators import cardinality, matrix
+from tidemark.functions import groups, hashing
+from tidemark.operators import matrix
 from tidemark.operators.matrix import MatrixConfig
 
 
-def fold(df: DataFrame, group: str, order: Sequence[str], start: Callable[[], Any], step: Callable[[Any, tuple], None], finish: Callable[[Any], list[tuple]], schema: str) -> DataFrame:
-    """Runs ``step`` over each group's rows in order; ``finish`` gives the group's output rows, led by the group."""
+def fold(df: DataFrame, group: str, order: Sequence[str], start: Callable[[], Any], step: Callable[[Any, tuple], None], finish: Callable[[Any], list[tuple]], name: str, schema: str, spill: Callable[[Any], list[tuple]] | None = None) -> DataFrame:
+    """Runs ``step`` over each group's rows in order; ``finish`` gives the group's output rows (``schema``), led by the group
+    as ``name``. After each batch, ``spill`` may give rows and take them out of the state. A null group is one like any
+    other."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     few = df.withColumnRenamed(group, "g_").repartition("g_").sortWithinPartitions("g_", *order)
     names = [c for c in few.columns if c != "g_"]
-    out_names = [f.split()[0] for f in schema.split(",")]
+    kind = T.StructType([T.StructField(name, few.schema["g_"].dataType), *T.StructType.fromDDL(schema).fields])
+    arrow = to_arrow_schema(kind)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, key, open_ = None, None, False
-        for pdf in batches:
+
+        def made(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
             rows: list[tuple] = []
-            for g, row in zip(pdf["g_"].tolist(), pdf[names].itertuples(index=False, name=None), strict=True):
-                if not open_ or g != key:
+            for g, row in zip(batch.column("g_").to_pylist(), zip(*(batch.column(c).to_pylist() for c in names), strict=True), strict=True):
+                if not open_ or (g != key and not (g != g and key != key)):  # NaN is one group
                     if open_:
                         rows += [(key, *r) for r in finish(state)]
                     state, key, open_ = start(), g, True
                 step(state, row)
-            if rows:
-                yield pd.DataFrame(rows, columns=out_names)
-        if open_ and (rows := [(key, *r) for r in finish(state)]):
-            yield pd.DataFrame(rows, columns=out_names)
-
-    return few.mapInPandas(run, schema)
-
-
-def hip(df: DataFrame, key: str, time: str, *, group: str, p: int = 12) -> DataFrame:
-    """(group, est): the historic inverse probability estimate, a running sum over register changes. It has no merge."""
-    cardinality._check(p)
-    m = 1 << p
-    reg, rho = cardinality.reg_rho(F.col("h_"), p)
-    # only the first time of a key can change a register
-    first = df.where(F.col(key).isNotNull()).groupBy(F.col(group).alias("g0_"), F.col(key).alias("key_")).agg(F.min(time).alias("t_"))
-    few = first.withColumn("h_", hashing.digest(F.col("key_"))).select("g0_", "t_", reg.alias("reg"), rho.alias("rho"))
+            if open_ and spill is not None:
+                rows += [(key, *r) for r in spill(state)]
+            yield from made(rows)
+        if open_:
+            yield from made([(key, *r) for r in finish(state)])
 
-    def start() -> list:
-        return [np.zeros(m, dtype=np.int8), float(m), 0.0]
-
-    def step(s: list, row: tuple) -> None:
-        _, r, k = row
-        if k > s[0][r]:
-            s[2] += m / s[1]
-            s[1] += 2.0**-k - 2.0 ** -int(s[0][r])
-            s[0][r] = k
-
-    kind = dict(df.dtypes)[group]
-    return fold(few, "g0_", ["t_", "reg", "rho"], start, step, lambda s: [(s[2],)], f"{group} {kind}, est double")
-
-
-def refuse_merge(*_: DataFrame) -> DataFrame:
-    raise ValueError("HIP estimates can't be merged")
+    return few.mapInArrow(run, kind)
 
 
 ELASTIC = MatrixConfig(rows=3, cols=4096)
-ELASTIC_KIND = "bucket long, heavy_key string, positive long, evicted boolean, light_key string, light long"
+ELASTIC_KIND = "heavy_key string, positive long, evicted boolean, light_key string, light long"
 
 
 def elastic(df: DataFrame, key: str, time: str, *, buckets: int = 8, ratio: int = 8) -> DataFrame:
@@ -97,15 +83,14 @@ def elastic(df: DataFrame, key: str, time: str, *, buckets: int = 8, ratio: int
             else:
                 s["light"][s["key"]] = s["light"].get(s["key"], 0) + s["pos"]
                 s |= {"key": k, "pos": 1, "neg": 1, "evicted": True}
-        if len(s["light"]) > 100_000:
-            s.setdefault("out", []).extend(s["light"].items())
-            s["light"] = {}
 
-    def finish(s: dict) -> list[tuple]:
-        light = [*s.get("out", []), *s["light"].items()]
-        return [(s["key"], s["pos"], s["evicted"], None, 0), *((None, 0, False, k, n) for k, n in light)]
+    def spill(s: dict) -> list[tuple]:
+        """Light counts leave with each batch: what stays is the bucket."""
+        light = [(None, 0, False, k, n) for k, n in s["light"].items()]
+        s["light"] = {}
+        return light
 
-    return fold(few, "b_", ["t_", "k_"], start, step, finish, ELASTIC_KIND)
+    return fold(few, "b_", ["t_", "k_"], start, step, lambda s: [(s["key"], s["pos"], s["evicted"], None, 0), *spill(s)], "bucket", ELASTIC_KIND, spill)
 
 
 def elastic_light(built: DataFrame, config: MatrixConfig = ELASTIC) -> DataFrame:
@@ -156,7 +141,7 @@ def coco(df: DataFrame, key: str, *, weight: str | None = None, width: int = 64,
     def finish(s: dict) -> list[tuple]:
         return [(d, c, s["keys"][d][c], int(s["val"][d, c])) for d in range(depth) for c in range(width) if s["keys"][d][c] is not None]
 
-    return fold(few, "p_", ["h_", "k_"], start, step, finish, "part long, depth long, slot long, full_key string, val long")
+    return fold(few, "p_", ["h_", "k_"], start, step, finish, "part", "depth long, slot long, full_key string, val long")
 
 
 def coco_estimate(table: DataFrame, partial: str, predicate: Callable | None = None) -> DataFrame:
@@ -214,12 +199,13 @@ class ExponentialHistogram:
                 self._join(start)
                 end = start + 1
         else:
-            newer, i = 0.0, len(self.buckets) - 2
+            newer, i = 0.0, len(self.buckets) - 2  # newer: the squares behind the pair
             while i >= 0:
-                pair = self.buckets[i][3] ** 2 + self.buckets[i + 1][3] ** 2
-                if i + 2 < len(self.buckets) and pair <= newer / self.k:
+                a, b = self.buckets[i][3] ** 2, self.buckets[i + 1][3] ** 2
+                if a + b <= newer / self.k:
                     self._join(i)
-                newer = sum(b[3] ** 2 for b in self.buckets[i + 1 :])
+                else:
+                    newer += b
                 i -= 1
 
     def query(self, start: float, end: float) -> tuple[int, float]:
@@ -231,9 +217,63 @@ class ExponentialHistogram:
         return bool(self.buckets) and self.buckets[0][0] <= start and self.buckets[-1][1] >= end
 
 
+def l1_levels(n: Column, k: int) -> Column:
+    """The levels of an L1 histogram after ``n`` rows, newest first: (start, size, first): from row ``start`` on, counted
+    from the newest, buckets have ``size`` rows, and the first of them has number ``first``.
+
+    A level of which the ``t``-th bucket comes (t = k/2 + 2, rounded up) gives its two oldest to the next level. So with x
+    buckets that ever came, floor((x - t + 2) / 2) pairs have gone on, if that is above 0."""
+    t = -(-k // 2) + 2
+    gone = lambda x: F.greatest(F.lit(0).cast("long"), F.floor((x - (t - 2)) / 2).cast("long"))
+    first = F.struct(n.alias("x"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("number"), F.array().cast("array<struct<start:bigint,size:bigint,first:bigint>>").alias("held"))
+
+    def level(a: Column, j: Column) -> Column:
+        size = F.pow(F.lit(2.0), j).cast("long")
+        left = a["x"] - 2 * gone(a["x"])
+        own = F.array(F.struct(a["at"].alias("start"), size.alias("size"), a["number"].alias("first")))
+        more = F.when(left > 0, F.concat(a["held"], own)).otherwise(a["held"])
+        return F.struct(gone(a["x"]).alias("x"), (a["at"] + left * size).alias("at"), (a["number"] + left).alias("number"), more.alias("held"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), first, level, lambda a: a["held"])
+
+
+def l1_buckets(df: DataFrame, time: str, *, k: int, window: float, by: Sequence[str] | str | None = None, pane: float = 86400.0) -> DataFrame:
+    """``df`` with the column bucket: each row's bucket of its group's L1 histogram, 0 for the newest; rows in buckets that
+    end before the window, which the newest row ends, go, and rows without a time.
+
+    Rows are numbered from the newest by the counts of panes of ``pane`` seconds, and within a pane, so no task orders more
+    than one pane of a group. Rows of the same time have no order among them."""
+    if k < 1:
+        raise ValueError("k is at least 1")
+    by = groups.names(by)
+    rows = df.where(F.col(time).isNotNull()).withColumn("t_", F.col(time).cast("timestamp").cast("double")).withColumn("pane_", F.floor(F.col("t_") / pane))
+    panes = rows.groupBy(*by, "pane_").agg(F.count("*").alias("c_"), F.max("t_").alias("m_"))
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    newer = F.sum("c_").over(whole.orderBy(F.desc("pane_"))) - F.col("c_")
+    panes = panes.select(*by, "pane_", newer.alias("newer_"), F.sum("c_").over(whole).alias("n_"), F.max("m_").over(whole).alias("last_"))
+    panes = panes.withColumn("levels_", l1_levels(F.col("n_"), k))
+    ranked = groups.join(rows, panes, by, ["pane_"]).withColumn("r_", F.col("newer_") + F.row_number().over(Window.partitionBy(*by, "pane_").orderBy(F.desc("t_"))))
+    level = F.element_at(F.filter("levels_", lambda x: x["start"] < F.col("r_")), -1)
+    made = ranked.withColumn("l_", level).withColumn("bucket", F.col("l_.first") + F.floor((F.col("r_") - 1 - F.col("l_.start")) / F.col("l_.size")).cast("long"))
+    end = F.max("t_").over(Window.partitionBy(*by, "bucket"))
+    kept = made.withColumn("end_", end).where(F.col("end_") >= F.col("last_") - window)
+    return kept.drop("t_", "pane_", "newer_", "n_", "last_", "levels_", "r_", "l_", "end_")
+
+
 def exponential_histogram(df: DataFrame, group: str, time: str, *, k: int, window: float, value: str | None = None, norm: str = "l1") -> DataFrame:
     """(group, start, end, cnt, total): each group's buckets after all its rows, in seconds of time."""
     v = F.lit(1.0) if value is None else F.col(value).cast("double")
-    few = df.where(F.col(time).isNotNull()).select(F.col(group).alias("g0_"), F.col(time).cast("timestamp").cast("double").alias("t_"), v.alias("v_"))
-    kind = dict(df.dtypes)[group]
-    return fold(few, "g0_", ["t_", "v_"], lambda: ExponentialHistogram(k, window, norm), lambda s, r: s.update(r[0], r[1]), lambda s: [tuple(b) for b in s.buckets], f"{group} {kind}, start double, end double, cnt long, total double")
+    few = df.where(F.col(time).isNotNull()).select(F.col(group), F.col(time).alias("time_"), v.alias("v_"))
+    if norm == "l1":
+        t = F.col("time_").cast("timestamp").cast("double")
+        made = l1_buckets(few, "time_", k=k, window=window, by=group).groupBy(group, "bucket")
+        return made.agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("cnt"), F.sum("v_").alias("total")).drop("bucket")
+    few = few.select(F.col(group).alias("g0_"), F.col("time_").cast("timestamp").cast("double").alias("t_"), "v_")
+    return fold(few, "g0_", ["t_", "v_"], lambda: ExponentialHistogram(k, window, norm), lambda s, r: s.update(r[0], r[1]), lambda s: [tuple(b) for b in s.buckets], group, "start double, end double, cnt long, total double")
+
+
+def interval(buckets: DataFrame, start: float, end: float) -> DataFrame:
+    """The rows of (..., start, end) whose bucket belongs to the interval: it touches it, and, where the interval starts
+    inside, its larger part does."""
+    inside = (F.col("end") >= start) & (F.col("start") <= end)
+    return buckets.where(inside & ((F.col("start") >= start) | (F.lit(start) - F.col("start") <= F.col("end") - F.lit(start))))

@@ -1,7 +1,7 @@
 """Quantiles, ranks and cumulative distributions: DDSketch as rows, exact forms, KLL built-ins and uniform samples.
 
-A DDSketch is (groups..., bucket, cnt, lo, hi): the count of a logarithmic bucket with the least and greatest value in it,
-so minimum and maximum survive merges. Running sums go over buckets, of which there are at most a few thousand, never
+A DDSketch is (groups..., bucket, cnt, lo, hi, total): the count of a logarithmic bucket with the least and greatest value
+in it and their sum, so that minimum, maximum and sum survive merges. Running sums go over buckets, of which there are at most a few thousand, never
 over the input.
 """
 
@@ -13,8 +13,9 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import hashing
-from tidemark.operators.matrix import _names
+from tidemark.functions import groups, hashing
+from tidemark.functions.groups import names as _names
+from tidemark.sources.scratch import Scratch
 
 #: Values beyond these have no bucket.
 LEAST, MOST = 2.2250738585072014e-308, 1.7976931348623157e308
@@ -29,10 +30,13 @@ def gamma(alpha: float) -> float:
 def ddsketch(df: DataFrame, value: str, *, alpha: float = 0.01, by: Sequence[str] | str | None = None) -> DataFrame:
     """Values that are null, not finite, zero or negative don't count."""
     by = _names(by)
-    v = F.col(value).cast("double")
-    few = df.select(*by, v.alias("v_")).where((F.col("v_") >= LEAST) & (F.col("v_") <= MOST) & ~F.isnan("v_"))
-    bucket = F.floor(F.ln("v_") * F.lit(1 / log(gamma(alpha)))).cast("int")
-    return few.groupBy(*by, bucket.alias("bucket")).agg(F.count("*").alias("cnt"), F.min("v_").alias("lo"), F.max("v_").alias("hi"))
+    return bucketed(df, value, by, alpha).groupBy(*by, "bucket").agg(F.count("*").alias("cnt"), F.min("v_").alias("lo"), F.max("v_").alias("hi"), F.sum("v_").alias("total"))
+
+
+def bucketed(df: DataFrame, value: str, by: Sequence[str] = (), alpha: float = 0.01) -> DataFrame:
+    """(groups..., v_, bucket) of the rows that count."""
+    few = df.select(*by, F.col(value).cast("double").alias("v_")).where((F.col("v_") >= LEAST) & (F.col("v_") <= MOST) & ~F.isnan("v_"))
+    return few.withColumn("bucket", F.floor(F.ln("v_") * F.lit(1 / log(gamma(alpha)))).cast("int"))
 
 
 def dd_merge(*sketches: DataFrame, alphas: Sequence[float] = (), by: Sequence[str] | str | None = None) -> DataFrame:
@@ -41,18 +45,27 @@ def dd_merge(*sketches: DataFrame, alphas: Sequence[float] = (), by: Sequence[st
     out = sketches[0]
     for s in sketches[1:]:
         out = out.unionByName(s)
-    return out.groupBy(*_names(by), "bucket").agg(F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return out.groupBy(*_names(by), "bucket").agg(F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("total").alias("total"))
 
 
 def dd_delta(current: DataFrame, previous: DataFrame, *, threshold: int = 1, by: Sequence[str] | str | None = None) -> DataFrame:
-    """Buckets that grew by ``threshold`` or more; falls count as none."""
-    keys = [*_names(by), "bucket"]
-    both = current.join(previous.select(*keys, F.col("cnt").alias("p_")), keys, "left")
-    return both.withColumn("cnt", F.col("cnt") - F.coalesce("p_", F.lit(0))).where(F.col("cnt") >= max(1, threshold)).drop("p_")
+    """Buckets that grew by ``threshold`` or more, with what was added; falls count as none. Merged into the previous
+    sketch, a delta of threshold 1 gives the current one."""
+    by = _names(by)
+    before = previous.select(*by, "bucket", F.col("cnt").alias("p_"), F.col("total").alias("t_"))
+    both = groups.join(current, before, by, ["bucket"], "left").withColumns({"cnt": F.col("cnt") - F.coalesce("p_", F.lit(0)), "total": F.col("total") - F.coalesce("t_", F.lit(0.0))})
+    return both.where(F.col("cnt") >= max(1, threshold)).drop("p_", "t_")
 
 
 def dd_summary(sketch: DataFrame, *, by: Sequence[str] | str | None = None) -> DataFrame:
-    return sketch.groupBy(*_names(by)).agg(F.sum("cnt").alias("n"), F.min("lo").alias("min"), F.max("hi").alias("max"))
+    return sketch.groupBy(*_names(by)).agg(F.sum("cnt").alias("n"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.sum("total").alias("sum"))
+
+
+def dd_rank(sketch: DataFrame, at: Sequence[float], *, alpha: float = 0.01, by: Sequence[str] | str | None = None) -> DataFrame:
+    """(groups..., x, rank, fraction): the count of the buckets whose representative is up to x."""
+    by = _names(by)
+    r = F.coalesce(F.sum(F.when(F.pow(F.lit(gamma(alpha)), F.col("bucket")) * (1 + alpha) <= F.col("x"), F.col("cnt"))), F.lit(0))
+    return sketch.withColumn("x", _asked(at)).groupBy(*by, "x").agg(r.alias("rank"), (r / F.sum("cnt")).alias("fraction"))
 
 
 def _asked(qs: Sequence[float]) -> Column:
@@ -88,21 +101,18 @@ def counts(df: DataFrame, value: str, *, weight: str | None = None, by: Sequence
 def cdf(weighted: DataFrame, *, by: Sequence[str] | str | None = None) -> DataFrame:
     """(groups..., value, w, cum, fraction): the cumulative distribution, one row a distinct value.
 
-    Without groups the running sum has two levels, so that no task orders all values: totals of the value ranges first,
-    then within each range.
+    Without groups the running sum has two levels, so that no task orders all values: the values are dealt by range and
+    written once, the totals of the ranges (a row a shuffle partition) are summed up, and each range goes on from there.
     """
     by = _names(by)
     if by:
         order = Window.partitionBy(*by).orderBy("value")
         out = weighted.withColumns({"cum": F.sum("w").over(order), "n_": F.sum("w").over(Window.partitionBy(*by))})
         return out.select(*by, "value", "w", "cum", (F.col("cum") / F.col("n_")).alias("fraction"))
-    n = int(weighted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = weighted.approxQuantile("value", [i / n for i in range(1, n)], 0.01) if n > 1 else []
-    part = F.lit(0)
-    for b in sorted(set(bounds)):
-        part = part + (F.col("value") > b).cast("int")
-    ranged = weighted.withColumn("part_", part)
-    totals = ranged.groupBy("part_").agg(F.sum("w").alias("t_"))  # a row a range
+    spark = weighted.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = Scratch(spark).save(weighted.select("value", "w").repartitionByRange(n, "value").withColumn("part_", F.spark_partition_id()))
+    totals = ranged.groupBy("part_").agg(F.sum("w").alias("t_"))
     before = totals.select("part_", (F.sum("t_").over(Window.orderBy("part_")) - F.col("t_")).alias("before_"), F.sum("t_").over(Window.partitionBy()).alias("n_"))
     cum = F.col("before_") + F.sum("w").over(Window.partitionBy("part_").orderBy("value"))
     return ranged.join(F.broadcast(before), "part_").withColumn("cum", cum).select("value", "w", "cum", (F.col("cum") / F.col("n_")).alias("fraction"))
@@ -124,8 +134,11 @@ def quantiles(weighted: DataFrame, qs: Sequence[float], *, by: Sequence[str] | s
 
 def quantiles_interpolated(weighted: DataFrame, qs: Sequence[float], *, by: Sequence[str] | str | None = None) -> DataFrame:
     """(groups..., q, value), linear between the steps of the distribution."""
-    by = _names(by)
-    steps = cdf(weighted, by=by).withColumn("q", _asked(qs))
+    return _interpolated(cdf(weighted, by=by), qs, _names(by))
+
+
+def _interpolated(distribution: DataFrame, qs: Sequence[float], by: list[str]) -> DataFrame:
+    steps = distribution.withColumn("q", _asked(qs))
     up, down = F.col("fraction") >= F.col("q"), F.col("fraction") < F.col("q")
     got = steps.groupBy(*by, "q").agg(
         F.min(F.when(up, F.struct("fraction", "value"))).alias("b_"), F.max(F.when(down, F.struct("fraction", "value"))).alias("a_"), F.max("value").alias("top_")
@@ -135,45 +148,80 @@ def quantiles_interpolated(weighted: DataFrame, qs: Sequence[float], *, by: Sequ
     return got.select(*by, "q", F.when(b.isNull(), F.col("top_")).when(a.isNull(), b["value"]).otherwise(line).alias("value"))
 
 
-def kll(df: DataFrame, value: str, *, k: int = 200, by: Sequence[str] | str | None = None, name: str = "kll") -> DataFrame:
-    """Spark's KLL sketch of doubles as a binary column; its bytes depend on how rows meet."""
-    return df.groupBy(*_names(by)).agg(F.expr(f"kll_sketch_agg_double(cast({value} as double), {k})").alias(name))
+def kll(df: DataFrame, value: str, *, k: int = 200, by: Sequence[str] | str | None = None, name: str = "kll", kind: str = "double") -> DataFrame:
+    """Spark's KLL sketch as a binary column, of ``kind`` double, float or bigint; its bytes depend on how rows meet, since
+    its coins aren't seeded, and its error bound doesn't."""
+    if not 8 <= k <= 65535 or kind not in ("double", "float", "bigint"):
+        raise ValueError("k lies between 8 and 65535 and kind is double, float or bigint")
+    return df.groupBy(*_names(by)).agg(F.expr(f"kll_sketch_agg_{kind}(cast({value} as {kind}), {k})").alias(name))
 
 
-def kll_merge(sketches: DataFrame, *, by: Sequence[str] | str | None = None, name: str = "kll") -> DataFrame:
-    return sketches.groupBy(*_names(by)).agg(F.expr(f"kll_merge_agg_double({name})").alias(name))
+def kll_merge(sketches: DataFrame, *, by: Sequence[str] | str | None = None, name: str = "kll", kind: str = "double") -> DataFrame:
+    return sketches.groupBy(*_names(by)).agg(F.expr(f"kll_merge_agg_{kind}({name})").alias(name))
 
 
-def _of_kll(sketches: DataFrame, function: str, at: Sequence[float], name: str, x: str, out: str) -> DataFrame:
+def _of_kll(sketches: DataFrame, function: str, at: Sequence[float], name: str, x: str, out: str, kind: str) -> DataFrame:
     """A row for each point asked; Spark takes the points as constants only."""
-    each = F.array(*[F.struct(F.lit(float(v)).alias(x), F.expr(f"{function}({name}, {float(v)!r}D)").alias(out)) for v in at])
-    return sketches.withColumn("n", F.expr(f"kll_sketch_get_n_double({name})")).where("n > 0").withColumn("e_", F.explode(each)).withColumns({x: F.col("e_")[x], out: F.col("e_")[out]})
+    point = lambda v: f"cast({v!r}D as {kind})" if function == "rank" else f"{v!r}D"
+    each = F.array(*[F.struct(F.lit(float(v)).alias(x), F.expr(f"kll_sketch_get_{function}_{kind}({name}, {point(float(v))})").alias(out)) for v in at])
+    return sketches.withColumn("n", F.expr(f"kll_sketch_get_n_{kind}({name})")).where("n > 0").withColumn("e_", F.explode(each)).withColumns({x: F.col("e_")[x], out: F.col("e_")[out]})
 
 
-def kll_quantiles(sketches: DataFrame, qs: Sequence[float], *, by: Sequence[str] | str | None = None, name: str = "kll") -> DataFrame:
+def kll_quantiles(sketches: DataFrame, qs: Sequence[float], *, by: Sequence[str] | str | None = None, name: str = "kll", kind: str = "double") -> DataFrame:
     """(groups..., n, q, value); no row for a sketch without values."""
-    return _of_kll(sketches, "kll_sketch_get_quantile_double", qs, name, "q", "value").select(*_names(by), "n", "q", "value")
+    return _of_kll(sketches, "quantile", qs, name, "q", "value", kind).select(*_names(by), "n", "q", "value")
 
 
-def kll_rank(sketches: DataFrame, at: Sequence[float], *, by: Sequence[str] | str | None = None, name: str = "kll") -> DataFrame:
+def kll_rank(sketches: DataFrame, at: Sequence[float], *, by: Sequence[str] | str | None = None, name: str = "kll", kind: str = "double") -> DataFrame:
     """(groups..., x, rank): about how many values are up to x."""
-    return _of_kll(sketches, "kll_sketch_get_rank_double", at, name, "x", "rank").select(*_names(by), "x", (F.col("rank") * F.col("n")).alias("rank"))
+    return _of_kll(sketches, "rank", at, name, "x", "rank", kind).select(*_names(by), "x", (F.col("rank") * F.col("n")).alias("rank"))
 
 
-def uniform_sample(df: DataFrame, ident: str, rate: float, *, by: Sequence[str] | str | None = None, seed: str = "") -> DataFrame:
+def kll_cdf(sketches: DataFrame, *, steps: int = 256, by: Sequence[str] | str | None = None, name: str = "kll", kind: str = "double") -> DataFrame:
+    """(groups..., value, w, cum, fraction): a sketch's distribution in ``steps`` equal steps of rank, of which those with
+    the same value are one; it can be asked like an exact one."""
+    by = _names(by)
+    got = kll_quantiles(sketches, [i / steps for i in range(steps + 1)], by=by, name=name, kind=kind)
+    whole = got.groupBy(*by, F.col("value").cast("double").alias("value")).agg(F.max("q").alias("fraction"), F.max("n").alias("n_"))
+    before = F.coalesce(F.lag("fraction").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("value")), F.lit(0.0))
+    return whole.select(*by, "value", ((F.col("fraction") - before) * F.col("n_")).alias("w"), (F.col("fraction") * F.col("n_")).alias("cum"), "fraction")
+
+
+def kll_quantiles_interpolated(sketches: DataFrame, qs: Sequence[float], *, steps: int = 256, by: Sequence[str] | str | None = None, name: str = "kll", kind: str = "double") -> DataFrame:
+    """(groups..., q, value), linear between the steps of the sketch's distribution."""
+    return _interpolated(kll_cdf(sketches, steps=steps, by=by, name=name, kind=kind), qs, _names(by))
+
+
+#: Priorities have 52 bits, of which these tell buckets apart.
+PRIORITY_BITS = 16
+
+
+def uniform_sample(df: DataFrame, ident: str, rate: float, *, by: Sequence[str] | str | None = None, seed: str = "", total: str | None = None) -> DataFrame:
     """The ceil(rate n) rows (of each group) with the least priority, a hash of ``ident``; the column prio stays, so that
-    samples merge. Two passes: a quantile of the priorities bounds what is ordered to little more than the sample."""
+    samples merge, and ``total``, if named, is the number of rows seen.
+
+    A histogram of the priorities says which bucket holds the last row of the sample; rows of lower buckets are in, and only
+    rows of that one are ranked, so no task orders more than a 65,536th of a group's rows."""
     if not 0 < rate <= 1:
         raise ValueError("rate lies above 0 and up to 1")
     by = _names(by)
     out = df.withColumn("prio", hashing.hex_slice(hashing.digest(F.col(ident), "md5", seed), 1, 13))
-    n = out.groupBy(*by).agg(F.count("*").alias("n_"))
-    joined = out.join(F.broadcast(n), by) if by else out.crossJoin(F.broadcast(n))
-    # priorities are uniform: beyond the rate and six deviations, no row belongs to the sample
-    loose = F.lit(float(1 << 52)) * (rate + 6 * F.sqrt(F.lit(rate) / F.col("n_")) + 40 / F.col("n_"))
-    near = joined.where(F.col("prio") <= loose)
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("prio", ident)
-    return near.withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= F.ceil(F.lit(rate) * F.col("n_"))).drop("r_", "n_")
+    return _least(out, ident, F.ceil(F.lit(rate) * F.col("n_")), by, total)
+
+
+def _least(out: DataFrame, ident: str, need: Column, by: list[str], total: str | None) -> DataFrame:
+    """The ``need`` rows (of each group) with the least priority; ``need`` may use the number of rows, n_."""
+    out = out.withColumn("b_", F.shiftright("prio", 52 - PRIORITY_BITS))
+    filled = out.groupBy(*by, "b_").agg(F.count("*").alias("c_"))
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    run = filled.withColumns({"n_": F.sum("c_").over(whole), "cum_": F.sum("c_").over(whole.orderBy("b_"))}).withColumn("need_", F.least(need, F.col("n_")))
+    # the first bucket that reaches the need is the only one of which fewer rows may be wanted than it holds
+    before = F.col("cum_") - F.col("c_")
+    border = run.where((F.col("cum_") >= F.col("need_")) & (before < F.col("need_"))).select(*by, F.col("b_").alias("last_"), "n_", (F.col("need_") - before).alias("need_"))
+    near = groups.join(out, border, by).where(F.col("b_") <= F.col("last_"))
+    order = Window.partitionBy(*by, "b_").orderBy("prio", ident)
+    kept = near.withColumn("r_", F.row_number().over(order)).where((F.col("b_") < F.col("last_")) | (F.col("r_") <= F.col("need_")))
+    return (kept.withColumn(total, F.col("n_")) if total else kept).drop("r_", "n_", "b_", "last_", "need_")
 
 
 def merge_samples(samples: Sequence[DataFrame], seen: Sequence[int], rates: Sequence[float], ident: str) -> DataFrame:
@@ -183,5 +231,4 @@ def merge_samples(samples: Sequence[DataFrame], seen: Sequence[int], rates: Sequ
     out = samples[0]
     for s in samples[1:]:
         out = out.unionByName(s)
-    k = -(-sum(seen) * rates[0] // 1)
-    return out.orderBy("prio", ident).limit(int(k))
+    return _least(out, ident, F.lit(int(-(-sum(seen) * rates[0] // 1))), [], None)

@@ -48,8 +48,16 @@ def _matrix(config: MatrixConfig) -> Family:
 
 
 def _univ(config: universal.UnivConfig) -> Family:
-    return Family(lambda df, c, by: universal.build(df, c, config, by=by), lambda s, by: matrix.roll_up(s, by=[*by, "layer"]), {}, ("l1", "l2"))
+    def one(name: str) -> Callable[..., DataFrame]:
+        return lambda sketch, by=(): universal.ask(sketch, config, by=by).select(*by, name)
 
+    asked: dict[str, Callable[..., DataFrame]] = {n: one(n) for n in ("l1", "l2", "entropy", "card")}
+    asked["metrics"] = lambda sketch, by=(): universal.ask(sketch, config, by=by)
+    return Family(lambda df, c, by: universal.build(df, c, config, by=by), lambda s, by: universal.roll_up(s, config, by=by), asked, ("l1", "l2"))
+
+
+#: Share of the rows that a sample keeps.
+SAMPLE_RATE = 0.1
 
 FAMILIES: dict[str, Family] = {
     "count_min": _matrix(MatrixConfig()),
@@ -57,10 +65,15 @@ FAMILIES: dict[str, Family] = {
     "hll": Family(lambda df, c, by: cardinality.hll(df, c, by=by), lambda s, by: cardinality.hll_merge(s, by=by), {"card": lambda s, by=(): cardinality.hll_classic(s, by=by), "card_ertl": lambda s, by=(): cardinality.hll_ertl(s, by=by)}),
     "kmv": Family(lambda df, c, by: cardinality.kmv(df, c, by=by), lambda s, by: cardinality.kmv_merge(s, by=by), {"card": lambda s, by=(): cardinality.kmv_estimate(s, by=by)}),
     "ddsketch": Family(lambda df, c, by: quantiles.ddsketch(df, c, by=by), lambda s, by: quantiles.dd_merge(s, by=by), {"quantile": lambda s, qs, by=(): quantiles.dd_quantiles(s, qs, by=by), "summary": lambda s, by=(): quantiles.dd_summary(s, by=by)}),
-    "kll": Family(lambda df, c, by: quantiles.kll(df, c, by=by), lambda s, by: quantiles.kll_merge(s, by=by), {"quantile": lambda s, qs, by=(): quantiles.kll_quantiles(s, qs, by=by), "rank": lambda s, at, by=(): quantiles.kll_rank(s, at, by=by)}),
+    "kll": Family(
+        lambda df, c, by: quantiles.kll(df, c, by=by),
+        lambda s, by: quantiles.kll_merge(s, by=by),
+        {"quantile": lambda s, qs, by=(): quantiles.kll_quantiles(s, qs, by=by), "rank": lambda s, at, by=(): quantiles.kll_rank(s, at, by=by), "cdf": lambda s, by=(): quantiles.kll_cdf(s, by=by)},
+    ),
     "univmon": _univ(universal.UnivConfig()),
     "pyramid": _univ(universal.PYRAMID),
     "hip": Family(lambda df, c, by: cardinality.hll(df, c, by=by), None),
+    "uniform": Family(lambda df, c, by: quantiles.uniform_sample(df.select(*by, c), c, SAMPLE_RATE, by=by, total="seen"), None, {"sample": lambda s, by=(): s}),
 }
 
 
@@ -73,11 +86,11 @@ def family(name: str, norm: str = "l1") -> Family:
 
 
 def sharded(df: DataFrame, column: str, name: str, shards: int, *, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(the shards' own sketches, the whole): rows are dealt to shards by a hash, each shard's sketch is a delta that any
+    """(the shards' own sketches, the whole): rows are dealt to shards by a hash of group and key, each shard's sketch is a delta that any
     reader may add up, and nothing below a threshold stays behind. Spark's map-side sums do the same within a build."""
     if shards < 1:
         raise ValueError("at least one shard")
-    dealt = df.withColumn("shard", F.pmod(F.xxhash64(*df.columns), F.lit(shards)).cast("int"))
+    dealt = df.select(*by, column, F.pmod(F.xxhash64(*by, column), F.lit(shards)).cast("int").alias("shard"))
     parts = family(name).build(dealt, column, ["shard", *by])
     return parts, family(name).merged(parts, by)
 

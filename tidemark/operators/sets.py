@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.matrix import _names
+from tidemark.functions import groups
+from tidemark.functions.groups import names as _names
 
 
 def members(df: DataFrame, value: str, *, by: Sequence[str] | str | None = None) -> DataFrame:
@@ -24,9 +25,9 @@ def union(*sets: DataFrame) -> DataFrame:
 
 def difference(current: DataFrame, previous: DataFrame, *, by: Sequence[str] | str | None = None) -> DataFrame:
     """(groups..., member, change): ``added`` or ``removed``."""
-    keys = [*_names(by), "member"]
-    added = current.join(previous, keys, "left_anti").withColumn("change", F.lit("added"))
-    return added.unionByName(previous.join(current, keys, "left_anti").withColumn("change", F.lit("removed")))
+    by = _names(by)
+    added = groups.join(current, previous, by, ["member"], "left_anti").withColumn("change", F.lit("added"))
+    return added.unionByName(groups.join(previous, current, by, ["member"], "left_anti").withColumn("change", F.lit("removed")))
 
 
 def changes(windowed: DataFrame, window: str, value: str, step: str) -> DataFrame:

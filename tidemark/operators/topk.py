@@ -12,16 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.groups import names
 from tidemark.operators import matrix
 from tidemark.operators.matrix import MatrixConfig
 
 
-def largest(df: DataFrame, key: str, value: str, k: int, *, by: Sequence[str] | str | None = None) -> DataFrame:
-    """The k rows with the largest value (of each group)."""
+def largest(df: DataFrame, key: str, value: str, k: int, *, by: Sequence[str] | str | None = None, least: bool = False) -> DataFrame:
+    """The k rows with the largest value (of each group), or with the ``least``."""
     if k < 1:
         raise ValueError("k is at least 1")
-    by = matrix._names(by)
-    order = [F.desc(value), F.asc(key)]
+    by = names(by)
+    order = [F.asc(value) if least else F.desc(value), F.asc(key)]
     if not by:
         return df.orderBy(*order).limit(k)
     return df.withColumn("r_", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r_") <= k).drop("r_")
@@ -53,7 +54,7 @@ def merge(sketches: Sequence[DataFrame], heaps: Sequence[DataFrame], key: str, k
 
 
 def positive_rounded(df: DataFrame, key: str, k: int, config: MatrixConfig, *, weight: str) -> DataFrame:
-    """Weights are rounded and only positive ones count."""
+    """Heavy hitters by weights that are rounded and of which only positive ones count."""
     kept = df.withColumn("w1_", F.round(weight).cast("long")).where("w1_ > 0")
     return sketched(kept, key, k, config, weight="w1_")
 
@@ -66,3 +67,10 @@ def max_topk(df: DataFrame, key: str, value: str, k: int = 100) -> DataFrame:
 def builtin(df: DataFrame, key: str, k: int) -> DataFrame:
     """Spark's own one-pass summary (approx_top_k); (key, cnt)."""
     return df.agg(F.expr(f"approx_top_k({key}, {k})").alias("a_")).select(F.explode("a_").alias("e_")).select(F.col("e_.item").alias(key), F.col("e_.count").alias("cnt"))
+
+
+def rebuild(sketch: DataFrame, config: MatrixConfig, hh_keys: DataFrame, key: str, k: int, *, change: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The sketch after a ``change`` (cells, as ``matrix.delta`` gives them) and the k best of the keys sent along with it,
+    estimated on the new sketch: heavy hitters that arrive as changed cells and key names alone."""
+    whole = sketch if change is None else matrix.apply_delta(sketch, change)
+    return whole, from_sketch(whole, hh_keys, key, k, config)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing
-from tidemark.operators import cardinality, matrix, ordered, quantiles, registry, sampling, sets, subpopulation, topk, universal
+from tidemark.operators import cardinality, histogram, matrix, ordered, quantiles, registry, sampling, sets, subpopulation, topk, universal
 from tidemark.operators.ensemble import Ensemble
 from tidemark.operators.matrix import MatrixConfig, count_sketch
 from tidemark.plans import sql as S
@@ -78,6 +78,31 @@ def cms_per_group(s, d):
     return matrix.query(matrix.build(e, "user_id", CMS, by="event_type"), e, "user_id", CMS, by="event_type")
 
 
+#: events whose group is null for one type
+_HOLES = "(SELECT * REPLACE (nullif(event_type, 'click') AS event_type) FROM events)"
+
+
+def holes(s: SparkSession, d: str) -> DataFrame:
+    return events(s, d).withColumn("event_type", F.nullif("event_type", F.lit("click")))
+
+
+@query(f"WITH {S.matrix(_HOLES, 'user_id', 3, 2048, by='event_type')} {S.estimates('user_id', by='event_type')}")
+def cms_per_group_nulls(s, d):
+    e = holes(s, d)
+    return matrix.query(matrix.build(e, "user_id", CMS, by="event_type"), e, "user_id", CMS, by="event_type")
+
+
+@query(
+    f"WITH a AS (WITH {S.matrix(_HOLES, 'user_id', 3, 2048, by='event_type')} SELECT * FROM s), p AS (WITH e AS (SELECT * FROM {_HOLES} WHERE ts < TIMESTAMP '{HALF}'), {S.matrix('e', 'user_id', 3, 2048, by='event_type')} SELECT * FROM s) "
+    "SELECT coalesce(a.event_type, p.event_type) AS event_type, CAST(coalesce(a.row, p.row) AS BIGINT) AS row, coalesce(a.col, p.col) AS col, coalesce(a.cnt, 0) - coalesce(p.cnt, 0) AS cnt "
+    "FROM a FULL JOIN p ON a.event_type IS NOT DISTINCT FROM p.event_type AND a.row = p.row AND a.col = p.col WHERE abs(coalesce(a.cnt, 0) - coalesce(p.cnt, 0)) >= 3"
+)
+def cms_delta_by_group_nulls(s, d):
+    e = holes(s, d)
+    sketches = [matrix.build(x, "user_id", CMS, by="event_type") for x in (e, e.where(F.col("ts") < HALF))]
+    return longs(matrix.delta(*sketches, threshold=3, by="event_type"), "row", "col")
+
+
 _DELTA = (
     f"WITH a AS (WITH {S.matrix('events', 'user_id', 3, 2048)} SELECT * FROM s), p AS (WITH e AS (SELECT * FROM events WHERE ts < TIMESTAMP '{HALF}'), {S.matrix('e', 'user_id', 3, 2048)} SELECT * FROM s) "
     "SELECT CAST(coalesce(a.row, p.row) AS BIGINT) AS row, coalesce(a.col, p.col) AS col, coalesce(a.cnt, 0) - coalesce(p.cnt, 0) AS cnt FROM a FULL JOIN p ON a.row = p.row AND a.col = p.col WHERE abs(coalesce(a.cnt, 0) - coalesce(p.cnt, 0)) >= 10"
@@ -104,13 +129,12 @@ def cms_row_norms(s, d):
 
 
 @query(
-    f"WITH {S.matrix('events', 'user_id', 3, 2048)} SELECT k AS user_id, min(coalesce(cnt, 0)) AS lo, max(coalesce(cnt, 0)) AS hi, median(coalesce(cnt, 0)) AS mid FROM x LEFT JOIN s ON x.row = s.row AND x.col = s.col GROUP BY k"
+    f"WITH {S.matrix('events', 'user_id', 3, 2048)} SELECT k AS user_id, min(coalesce(cnt, 0)) AS lo, max(coalesce(cnt, 0)) AS hi, median(coalesce(cnt, 0)) AS mid, CAST(sum(coalesce(cnt, 0)) AS BIGINT) AS total, round(avg(coalesce(cnt, 0)), 6) AS mean FROM x LEFT JOIN s ON x.row = s.row AND x.col = s.col GROUP BY k"
 )
 def matrix_row_aggregates(s, d):
     e = events(s, d)
-    sketch = matrix.build(e, "user_id", CMS)
-    ask = lambda how, name: matrix.query(sketch, e, "user_id", CMS, how=how, est=name)
-    return ask("min", "lo").join(ask("max", "hi"), "user_id").join(ask("median", "mid"), "user_id")
+    got = matrix.query(matrix.build(e, "user_id", CMS), e, "user_id", CMS, how={"lo": "min", "hi": "max", "mid": "median", "total": "sum", "mean": "mean"})
+    return got.withColumn("mean", F.round("mean", 6))
 
 
 @query(f"WITH {S.matrix('events', 'user_id', 3, 2048)} SELECT CAST(row AS BIGINT) AS row, col, cnt FROM s")
@@ -125,6 +149,39 @@ def cs_point_freq(s, d):
     return matrix.query(matrix.build(e, "user_id", CS), e, "user_id", CS)
 
 
+@query(f"WITH {S.matrix('events', 'user_id', 5, 2048, signed=True)} SELECT CAST(row AS BIGINT) AS row, col, cnt FROM s")
+def cs_prehashed(s, d):
+    e = events(s, d).withColumn("digest", hashing.digest(F.col("user_id")))
+    return longs(matrix.from_hashes(e, CS, hash_column="digest"), "row", "col")
+
+
+@query(_DELTA.replace("3, 2048", "5, 2048").replace(S.matrix("events", "user_id", 3, 2048), S.matrix("events", "user_id", 5, 2048, signed=True)).replace(S.matrix("e", "user_id", 3, 2048), S.matrix("e", "user_id", 5, 2048, signed=True)))
+def cs_delta(s, d):
+    e = events(s, d)
+    before = matrix.build(e.where(F.col("ts") < HALF), "user_id", CS)
+    return longs(matrix.delta(matrix.build(e, "user_id", CS), before, threshold=10), "row", "col")
+
+
+@query(f"WITH {S.matrix('events', 'user_id', 5, 2048, signed=True)} SELECT user_id, CAST(trunc(est) AS BIGINT) AS est FROM ({S.estimates('user_id', signed=True)}) ORDER BY CAST(trunc(est) AS BIGINT) DESC, user_id LIMIT 20")
+def cs_delta_topk(s, d):
+    """Heavy hitters rebuilt from changed cells and key names."""
+    e = events(s, d)
+    before, after = (matrix.build(x, "user_id", CS) for x in (e.where(F.col("ts") < HALF), e))
+    return topk.rebuild(before, CS, e.select("user_id").distinct(), "user_id", 20, change=matrix.delta(after, before))[1]
+
+
+_SIGNED = "CASE WHEN event_type = 'click' THEN -1 ELSE 2 END"
+
+
+@query(
+    f"WITH {S.matrix('events', 'user_id', 3, 1024, weight=_SIGNED, signed=True, salt='seven')}, q AS (SELECT median(q) AS l2_sqr FROM (SELECT row, CAST(sum(cnt * cnt) AS BIGINT) AS q FROM s GROUP BY row)) SELECT user_id, est, l2_sqr FROM ({S.estimates('user_id', signed=True)}), q"
+)
+def l2_seeded_with_deletes(s, d):
+    e, config = events(s, d), count_sketch(rows=3, cols=1024, salt="seven")
+    sketch = matrix.build(e, "user_id", config, weight=F.when(F.col("event_type") == "click", -1).otherwise(2).cast("long"))
+    return matrix.query(sketch, e, "user_id", config).crossJoin(matrix.l2_squared(sketch))
+
+
 @query(f"WITH {S.matrix('lineitem', 'l_suppkey', 3, 512, weight='CAST(l_quantity AS BIGINT)', signed=True, fast=False)} {S.estimates('l_suppkey', signed=True)}")
 def cs_regular(s, d):
     x = table(s, d, "lineitem")
@@ -176,7 +233,8 @@ FOLD_CS = count_sketch(rows=3, cols=4096, fast=False)
 @query(f"WITH {S.matrix('events', 'user_id', 3, 4096, fast=False, signed=True)} SELECT user_id, CAST(trunc(est) AS BIGINT) AS est FROM ({S.estimates('user_id', signed=True)})")
 def fold_cs_query(s, d):
     e = events(s, d)
-    folded = matrix.fold(matrix.build(e, "user_id", FOLD_CS), FOLD_CS, 3)
+    halves = [matrix.fold(matrix.build(e.where(c), "user_id", FOLD_CS), FOLD_CS, 3) for c in (F.col("ts") < HALF, F.col("ts") >= HALF)]
+    folded = matrix.hierarchical_merge(*halves, config=FOLD_CS, level=3)
     return matrix.query(matrix.unfold(folded, FOLD_CS).drop("fold_col"), e, "user_id", FOLD_CS).withColumn("est", F.col("est").cast("long"))
 
 
@@ -219,6 +277,11 @@ def topk_positive_rounded(s, d):
     return topk.positive_rounded(events(s, d).withColumn("v", F.col("value") - 100), "user_id", 10, CMS, weight="v")
 
 
+@query("SELECT user_id, max(value) AS est FROM events WHERE user_id IS NOT NULL GROUP BY user_id ORDER BY est, user_id LIMIT 7")
+def bottomk_max(s, d):
+    return topk.largest(topk.max_topk(events(s, d), "user_id", "value", 1_000_000), "user_id", "est", 7, least=True)
+
+
 @query("SELECT user_id, max(value) AS est FROM events WHERE user_id IS NOT NULL GROUP BY user_id ORDER BY est DESC, user_id LIMIT 100")
 def topk_max(s, d):
     return topk.max_topk(events(s, d), "user_id", "value")
@@ -233,10 +296,20 @@ def approx_topk_builtin(s, d):
 
 
 @query(f"WITH r AS ({S.hll('lineitem', 'l_partkey')}) {S.hll_classic('r')}")
-def hll_classic_p12(s, d):
+def hll_classic_p14(s, d):
     return cardinality.hll_classic(cardinality.hll(table(s, d, "lineitem"), "l_partkey"))
 
 
+@query(f"WITH r AS ({S.hll('lineitem', 'l_partkey', p=12)}) {S.hll_classic('r', p=12)}")
+def hll_classic_p12(s, d):
+    return cardinality.hll_classic(cardinality.hll(table(s, d, "lineitem"), "l_partkey", p=12), p=12)
+
+
+@query(f"WITH r AS ({S.hll('lineitem', 'l_partkey', p=16)}) {S.hll_classic('r', p=16)}")
+def hll_classic_p16(s, d):
+    return cardinality.hll_classic(cardinality.hll(table(s, d, "lineitem"), "l_partkey", p=16), p=16)
+
+
 @query(f"WITH r AS ({S.hll('orders', 'o_custkey', by='o_orderpriority')}) {S.hll_classic('r', by='o_orderpriority')}")
 def hll_classic_by_group(s, d):
     sketch = cardinality.hll(table(s, d, "orders"), "o_custkey", by="o_orderpriority")
@@ -258,7 +331,7 @@ def hll_delta(s, d):
     return cardinality.hll_delta(cardinality.hll(e, "event_id"), cardinality.hll(e.where(F.col("ts") < HALF), "event_id"))
 
 
-@query()
+@query(f"WITH r AS ({S.hll('lineitem', 'l_partkey', by='l_returnflag')}) {S.hll_ertl('r', by='l_returnflag')}")
 def hll_ertl(s, d):
     return cardinality.hll_ertl(cardinality.hll(table(s, d, "lineitem"), "l_partkey", by="l_returnflag"), by="l_returnflag")
 
@@ -341,9 +414,9 @@ def ddsketch_delta(s, d):
     return quantiles.dd_delta(quantiles.ddsketch(e, "value"), quantiles.ddsketch(e.where(F.col("ts") < HALF), "value")).select("bucket", "cnt")
 
 
-@query("SELECT event_type, count(*) AS n, min(value) AS min, max(value) AS max FROM events WHERE value > 0 GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, min(value) AS min, max(value) AS max, round(sum(value), 4) AS sum FROM events WHERE value > 0 GROUP BY event_type")
 def ddsketch_summary(s, d):
-    return quantiles.dd_summary(quantiles.ddsketch(events(s, d), "value", by="event_type"), by="event_type")
+    return quantiles.dd_summary(quantiles.ddsketch(events(s, d), "value", by="event_type"), by="event_type").withColumn("sum", F.round("sum", 4))
 
 
 _W = "w AS (SELECT CAST(l_quantity AS DOUBLE) AS value, count(*) AS w FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1), f AS (SELECT value, w, CAST(sum(w) OVER (ORDER BY value) AS BIGINT) AS cum, sum(w) OVER (ORDER BY value) / sum(w) OVER () AS fraction FROM w)"
@@ -392,6 +465,25 @@ def uniform_sample_by_group(s, d):
     return quantiles.uniform_sample(events(s, d), "event_id", 0.05, by="event_type").select("event_id", "prio")
 
 
+@query(
+    f"SELECT event_type, event_id, prio, n AS seen FROM (SELECT event_type, event_id, {S.hex_slice('md5(CAST(event_id AS VARCHAR))', 1, 13)} AS prio, row_number() OVER (PARTITION BY event_type ORDER BY {S.hex_slice('md5(CAST(event_id AS VARCHAR))', 1, 13)}, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM {_HOLES}) WHERE r <= ceil(0.05 * n)"
+)
+def uniform_sample_nulls(s, d):
+    return quantiles.uniform_sample(holes(s, d), "event_id", 0.05, by="event_type", total="seen").select("event_type", "event_id", "prio", "seen")
+
+
+@query(
+    f"WITH h AS (SELECT event_id, {S.hex_slice('md5(CAST(event_id AS VARCHAR))', 1, 13)} AS prio, ts < TIMESTAMP '{HALF}' AS half FROM events), "
+    "k AS (SELECT event_id, prio FROM (SELECT *, row_number() OVER (PARTITION BY half ORDER BY prio, event_id) AS r, count(*) OVER (PARTITION BY half) AS n FROM h) WHERE r <= ceil(0.02 * n)) "
+    "SELECT event_id, prio FROM (SELECT *, row_number() OVER (ORDER BY prio, event_id) AS r FROM k) WHERE r <= (SELECT ceil(0.02 * count(*)) FROM events)"
+)
+def uniform_sample_merge(s, d):
+    e = events(s, d)
+    parts = [e.where(F.col("ts") < HALF), e.where(F.col("ts") >= HALF)]
+    samples = [quantiles.uniform_sample(x, "event_id", 0.02) for x in parts]
+    return quantiles.merge_samples(samples, [x.count() for x in parts], [0.02, 0.02], "event_id").select("event_id", "prio")
+
+
 @query()
 def kll_quantiles(s, d):
     return quantiles.kll_quantiles(quantiles.kll(table(s, d, "lineitem"), "l_extendedprice", by="l_returnflag"), QS, by="l_returnflag")
@@ -407,7 +499,7 @@ def kll_merge(s, d):
 
 DIMS = ["o_orderstatus", "o_orderpriority"]
 _ASKED = S.subsets("orders", DIMS, "count(*) AS nn")
-WIDE = MatrixConfig(rows=3, cols=64, fast=False, salt="hydra")
+WIDE = MatrixConfig(rows=3, cols=64, salt="hydra")
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
@@ -431,7 +523,7 @@ def multihead_hydra(s, d):
 
 _CARD = (
     f"h AS (SELECT *, md5(CAST(o_custkey AS VARCHAR)) AS h FROM orders), k AS (SELECT *, {S.reg(12)} AS reg, {S.rho(12)} AS rho0 FROM h), f AS ({S.subsets('k', DIMS, 'max(rho0) AS rho', 'reg')}), "
-    f"g AS (SELECT hrow, hcol, reg, max(rho) AS rho FROM ({S.grid('f', 'reg, rho', cols=64)}) GROUP BY hrow, hcol, reg), c AS ({S.hll_classic('g', by='hrow, hcol')}), a AS ({S.grid('(SELECT DISTINCT subset FROM f)', 'subset', cols=64)})"
+    f"g AS (SELECT hrow, hcol, reg, max(rho) AS rho FROM ({S.grid('f', 'reg, rho', cols=64)}) GROUP BY hrow, hcol, reg), c AS ({S.hll_classic('g', p=12, by='hrow, hcol')}), a AS ({S.grid('(SELECT DISTINCT subset FROM f)', 'subset', cols=64)})"
 )
 
 
@@ -459,6 +551,70 @@ def hydra_quantile(s, d):
     return subpopulation.query_quantile(subpopulation.values(o, DIMS, "v", grid=WIDE), _asked(s, d), [0.5, 0.9], grid=WIDE)
 
 
+def halves(s: SparkSession, d: str) -> list[DataFrame]:
+    o = table(s, d, "orders")
+    return [o.where(F.pmod("o_orderkey", F.lit(2)) == i) for i in (0, 1)]
+
+
+@query(f"WITH {_SUM} SELECT subset, median(coalesce(n, 0)) AS n, median(coalesce(cents, 0)) AS cents FROM a LEFT JOIN g ON a.hrow = g.hrow AND a.hcol = g.hcol GROUP BY subset")
+def hydra_merge(s, d):
+    cents = (F.col("o_totalprice") * 100).cast("decimal(20,0)").cast("long")
+    parts = [subpopulation.counts(o, DIMS, grid=WIDE, measures={"n": F.lit(1).cast("long"), "cents": cents}) for o in halves(s, d)]
+    return subpopulation.query_counts(subpopulation.merge("counts", *parts), _asked(s, d), ["n", "cents"], grid=WIDE)
+
+
+@query(f"WITH {_CARD} SELECT subset, median(coalesce(est, 0)) AS est FROM a LEFT JOIN c ON a.hrow = c.hrow AND a.hcol = c.hcol GROUP BY subset")
+def hydra_card_merge(s, d):
+    parts = [subpopulation.distinct(o, DIMS, "o_custkey", grid=WIDE) for o in halves(s, d)]
+    return subpopulation.query_distinct(subpopulation.merge("hll", *parts), _asked(s, d), grid=WIDE)
+
+
+_DD_CELLS = (
+    f"f AS ({S.subsets('(SELECT *, CAST(floor(ln(o_totalprice) * ' + repr(INV) + ') AS INTEGER) AS bucket FROM orders WHERE o_totalprice > 0)', DIMS, 'count(*) AS cnt, min(o_totalprice) AS lo, max(o_totalprice) AS hi', 'bucket')}), "
+    f"k AS (SELECT hrow, hcol, bucket, CAST(sum(cnt) AS BIGINT) AS cnt, min(lo) AS lo, max(hi) AS hi FROM ({S.grid('f', 'bucket, cnt, lo, hi', cols=64)}) GROUP BY ALL), a AS ({S.grid('(SELECT DISTINCT subset FROM f)', 'subset', cols=64)})"
+)
+
+
+@query(f"WITH {_DD_CELLS}, t AS ({_dd_quantile_sql('k', 'hrow, hcol')}) SELECT subset, q, round(median(value), 4) AS value FROM a JOIN t USING (hrow, hcol) GROUP BY subset, q")
+def hydra_dd_quantile(s, d):
+    parts = [subpopulation.dd_cells(o, DIMS, "o_totalprice", grid=WIDE) for o in halves(s, d)]
+    got = subpopulation.query("ddsketch", "quantile", subpopulation.merge("ddsketch", *parts), _asked(s, d), list(QS), grid=WIDE)
+    return got.withColumn("value", F.round("value", 4))
+
+
+@query(
+    f"WITH {_DD_CELLS}, t AS (SELECT hrow, hcol, x, sum(CASE WHEN pow({G!r}, bucket) * 1.01 <= x THEN cnt ELSE 0 END) / sum(cnt) AS fraction FROM k, (SELECT CAST(x AS DOUBLE) AS x FROM (VALUES (50000.0), (150000.0), (300000.0)) y(x)) GROUP BY ALL) SELECT subset, x, round(median(fraction), 6) AS fraction FROM a JOIN t USING (hrow, hcol) GROUP BY subset, x"
+)
+def hydra_dd_cdf(s, d):
+    sketch = subpopulation.dd_cells(table(s, d, "orders"), DIMS, "o_totalprice", grid=WIDE)
+    return rounded(subpopulation.query("ddsketch", "cdf", sketch, _asked(s, d), [50000, 150000, 300000], grid=WIDE), "fraction")
+
+
+@query()
+def hydra_kll_quantile(s, d):
+    parts = [subpopulation.kll_cells(o, DIMS, "o_totalprice", grid=WIDE) for o in halves(s, d)]
+    return subpopulation.query("kll", "quantile", subpopulation.merge("kll", *parts), _asked(s, d), [0.1, 0.5, 0.9], grid=WIDE)
+
+
+SMALL_UNIV = universal.UnivConfig(layers=3, rows=3, cols=256, k=64)
+_CELLS_OF = f"(SELECT * FROM ({S.grid('(' + S.subsets('(SELECT *, o_custkey % 50 AS cust FROM orders)', DIMS, 'count(*) AS w', 'cust') + ')', 'cust, w', cols=64)}))"
+_UNIV_CELLS = f"{S.layered(_CELLS_OF, 'cust', 3, 3, 256, 64, by=['hrow', 'hcol'], weight='w')}, a AS ({S.grid('(SELECT DISTINCT subset FROM (' + S.subsets('orders', DIMS, 'count(*) AS n') + '))', 'subset', cols=64)}), m AS ({S.layered_metrics(3, by=['hrow', 'hcol'])})"
+
+
+def _univ_cells(s: SparkSession, d: str) -> DataFrame:
+    return subpopulation.univ_cells(table(s, d, "orders").withColumn("cust", F.col("o_custkey") % 50), DIMS, "cust", SMALL_UNIV, grid=WIDE)
+
+
+@query(f"WITH {_UNIV_CELLS} SELECT subset, round(median(l2), 6) AS l2 FROM a JOIN m USING (hrow, hcol) GROUP BY subset")
+def hydra_l2(s, d):
+    return rounded(subpopulation.query("univmon", "l2", _univ_cells(s, d), _asked(s, d), SMALL_UNIV, grid=WIDE), "l2")
+
+
+@query(f"WITH {_UNIV_CELLS} SELECT subset, round(median(entropy), 6) AS entropy FROM a JOIN m USING (hrow, hcol) GROUP BY subset")
+def hydra_entropy(s, d):
+    return rounded(subpopulation.query("univmon", "entropy", _univ_cells(s, d), _asked(s, d), SMALL_UNIV, grid=WIDE), "entropy")
+
+
 INNER = MatrixConfig(rows=3, cols=256)
 _KEYED = S.subsets("(SELECT *, year(o_orderdate) AS y FROM orders)", DIMS, "count(*) AS w", "y")
 
@@ -483,27 +639,36 @@ def hydra_keyed_kll(s, d):
 # Universal monitoring
 
 
-def _univ_sql(layers: int, rows: int, cols: int, k: int, narrow: tuple[int, int] | None = None) -> str:
-    width = f"(CASE WHEN layer < {narrow[0]} THEN {cols} ELSE {narrow[1]} END)" if narrow else str(cols)
-    last = f"layer = {layers - 1}"
-    factor = f"pow(2.0, layer) * (CASE WHEN {last} THEN 1 WHEN b > layer THEN -1 ELSE 1 END)"
-    return (
-        f"WITH c AS (SELECT *, {S.bottom('k', layers)} AS b, md5(CAST(k AS VARCHAR)) AS h FROM ({S.counts('events', 'user_id')})), l AS (SELECT * FROM c, (SELECT unnest(range({layers})) AS layer) WHERE layer <= b), "
-        f"x AS (SELECT *, {S.fast_col('row', width)} AS col, {S.fast_sign('row')} AS sg FROM l, (SELECT unnest(range({rows})) AS row)), s AS (SELECT layer, row, col, sum(sg * w) AS cnt FROM x GROUP BY layer, row, col), "
-        f"e AS (SELECT x.layer, x.b, x.k, median(sg * coalesce(cnt, 0)) AS est FROM x LEFT JOIN s ON x.layer = s.layer AND x.row = s.row AND x.col = s.col GROUP BY ALL), "
-        f"t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY est DESC, k) AS r FROM e) WHERE r <= {k} AND est > 0), n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM events WHERE user_id IS NOT NULL) "
-        f"SELECT n, round(l1, 6) AS l1, round(sqrt(greatest(l2s, 0.0)), 6) AS l2, round(log2(CAST(n AS DOUBLE)) - xl / n, 6) AS entropy, round(card, 6) AS card FROM (SELECT sum({factor} * est) AS l1, sum({factor} * est * est) AS l2s, sum({factor} * est * log2(est)) AS xl, sum({factor}) AS card FROM t), n"
-    )
+def _univ_sql(layers: int, rows: int, cols: int, k: int, narrow: tuple[int, int] | None = None, source: str = "events", by: list[str] | None = None, extra: str = "") -> str:
+    parts = S.layered(source, "user_id", layers, rows, cols, k, narrow=narrow, by=by, merged=bool(by))
+    return f"WITH {parts} SELECT {extra}n, round(l1, 6) AS l1, round(l2, 6) AS l2, round(entropy, 6) AS entropy, round(card, 6) AS card FROM ({S.layered_metrics(layers)})"
+
+
+FIGURES = ("l1", "l2", "entropy", "card")
 
 
 @query(_univ_sql(8, 5, 2048, 32))
 def univmon_metrics(s, d):
-    return rounded(universal.metrics(events(s, d), "user_id", UNIV), "l1", "l2", "entropy", "card")
+    return rounded(universal.metrics(events(s, d), "user_id", UNIV), *FIGURES)
 
 
 @query(_univ_sql(16, 3, 2048, 32, (8, 512)))
 def pyramid_metrics(s, d):
-    return rounded(universal.metrics(events(s, d), "user_id", universal.PYRAMID), "l1", "l2", "entropy", "card")
+    return rounded(universal.metrics(events(s, d), "user_id", universal.PYRAMID), *FIGURES)
+
+
+@query(_univ_sql(8, 5, 2048, 32, by=["event_type"]))
+def univmon_merge(s, d):
+    family = registry.family("univmon")
+    whole = family.merged(family.build(events(s, d), "user_id", ["event_type"]))
+    return rounded(family.ask("metrics", whole), *FIGURES)
+
+
+@query(_univ_sql(16, 3, 2048, 32, (8, 512), source=_HOLES, by=["event_type"]))
+def pyramid_merge(s, d):
+    family = registry.family("pyramid")
+    whole = family.merged(family.build(holes(s, d), "user_id", ["event_type"]))
+    return rounded(family.ask("metrics", whole), *FIGURES)
 
 
 _EXACT = "count(*) AS card0, sum(w) AS n0, sum(w * w) AS q, sum(w * log2(w)) AS xl"
@@ -531,24 +696,49 @@ def ensemble_cms_cs_hll(s, d):
     return longs(TRIO.build(events(s, d), "user_id"), "row")
 
 
-_COIN = f"{S.hex_slice(chr(109) + 'd5(' + chr(39) + 'coin:' + chr(39) + ' || row || ' + chr(39) + ':' + chr(39) + ' || CAST(event_id AS VARCHAR))', 1, 13)} / {float(1 << 52)!r} < 0.25"
+_COIN = f"{S.hex_slice('md5(' + chr(39) + 'coin0:' + chr(39) + ' || CAST(event_id AS VARCHAR))', '1 + 6 * row', 6)} / {float(1 << 24)!r} < 0.25"
 
 
-@query(
-    f"WITH k AS (SELECT row, user_id AS k, count(*) AS w FROM events, (SELECT unnest(range(3)) AS row) WHERE user_id IS NOT NULL AND {_COIN} GROUP BY row, user_id), x AS (SELECT *, {S.fast_col('row', 2048)} AS col FROM (SELECT *, md5(CAST(k AS VARCHAR)) AS h FROM k)), "
-    f"s AS (SELECT row, col, sum(w) / 0.25 AS cnt FROM x GROUP BY row, col), p AS ({S.cells('(' + S.counts('events', 'user_id') + ')', 3, 2048)}) SELECT k AS user_id, round(median(coalesce(cnt, 0.0)), 6) AS est FROM p LEFT JOIN s ON p.row = s.row AND p.col = s.col GROUP BY k"
-)
+def _nitro_sql(rows: int, signed: bool = False) -> str:
+    v, x = ("sum(w * sg)", "sg * coalesce(cnt, 0.0)") if signed else ("sum(w)", "coalesce(cnt, 0.0)")
+    return (
+        f"WITH k AS (SELECT row, user_id AS k, count(*) AS w FROM events, (SELECT unnest(range({rows})) AS row) WHERE user_id IS NOT NULL AND {_COIN} GROUP BY row, user_id), x AS (SELECT *, {S.fast_col('row', 2048)} AS col, {S.fast_sign('row')} AS sg FROM (SELECT *, md5(CAST(k AS VARCHAR)) AS h FROM k)), "
+        f"s AS (SELECT row, col, {v} / 0.25 AS cnt FROM x GROUP BY row, col), p AS ({S.cells('(' + S.counts('events', 'user_id') + ')', rows, 2048)}) SELECT k AS user_id, round(median({x}), 6) AS est FROM p LEFT JOIN s ON p.row = s.row AND p.col = s.col GROUP BY k"
+    )
+
+
+@query(_nitro_sql(3))
 def nitro_cms_rescaled(s, d):
     e = events(s, d)
     sketch = sampling.build(e, "event_id", "user_id", CMS, 0.25)
     return rounded(sampling.estimate(sketch, e, "user_id", CMS), "est")
 
 
+@query(_nitro_sql(5, signed=True))
+def nitro_cs_merge(s, d):
+    e = events(s, d)
+    parts = [sampling.build(x, "event_id", "user_id", CS, 0.25) for x in (e.where(F.col("ts") < HALF), e.where(F.col("ts") >= HALF))]
+    return rounded(sampling.estimate(sampling.merge(parts, [0.25, 0.25]), e, "user_id", CS), "est")
+
+
+@query("SELECT event_type, CAST(count(*) / 0.25 AS BIGINT) AS n, round(avg(value), 4) AS mean FROM events WHERE CAST('0x' || substr(md5('coin0:' || CAST(event_id AS VARCHAR)), 1, 6) AS BIGINT) / 16777216.0 < 0.25 GROUP BY event_type")
+def sampled_rescaled(s, d):
+    """Sampled figures, rescaled when asked: counts by the rate, means as they are."""
+    e = events(s, d)
+    kept = e.where(sampling.coin(sampling.coins(F.col("event_id"), 1), F.lit(0), 0.25)).groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return kept.select("event_type", sampling.rescale(F.col("n"), 0.25).cast("long").alias("n"), F.round(sampling.rescale(F.col("mean"), 0.25, "mean"), 4).alias("mean"))
+
+
 @query(f"WITH {S.matrix('events', 'user_id', 3, 4096)} SELECT CAST(row AS BIGINT) AS row, col, cnt FROM s")
 def sharded_cms(s, d):
     return longs(registry.sharded(events(s, d), "user_id", "count_min", 4)[1], "row")
 
 
+@query(f"WITH {S.matrix('events', 'user_id', 5, 2048, signed=True)} SELECT CAST(row AS BIGINT) AS row, col, cnt FROM s")
+def sharded_cs(s, d):
+    return longs(registry.sharded(events(s, d), "user_id", "count_sketch", 4)[1], "row")
+
+
 @query(f"WITH r AS ({S.hll('events', 'user_id', by='event_type')}) {S.hll_classic('r', by='event_type')}")
 def sharded_hll(s, d):
     whole = registry.sharded(events(s, d), "user_id", "hll", 4, by=["event_type"])[1]
@@ -607,6 +797,33 @@ def session_windows(s, d):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
+_SPAN = "(SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12')"
+
+
+@query(_univ_sql(8, 5, 2048, 32, source=_SPAN, extra="'sketch' AS tier, "))
+def tiered_sketch_metrics(s, d):
+    return rounded(windows.tiered_metrics(events(s, d), "ts", "1 day", "user_id", "2024-01-05", "2024-01-12", most_keys=10), *FIGURES)
+
+
+@query(f"WITH {S.matrix('events', 'user_id', 3, 4096, fast=False, signed=True)} {S.estimates('user_id', signed=True)}")
+def tumbling_fold_cs(s, d):
+    e = events(s, d)
+    return windows.query_hierarchical(windows.fold_panes(e, "ts", "1 day", "user_id", FOLD_CS, 3), FOLD_CS, e, "user_id")
+
+
+@query(f"WITH d AS (SELECT * FROM {_DAY} WHERE window_start IN (SELECT DISTINCT date_trunc('day', ts) FROM events ORDER BY 1 DESC LIMIT 5)), {S.matrix('d', 'user_id', 3, 4096, fast=False)} {S.estimates('user_id')}")
+def tumbling_fold_cms(s, d):
+    e = events(s, d)
+    panes = windows.recent(windows.fold_panes(e, "ts", "1 day", "user_id", FOLD, 4), 5)
+    return windows.query_hierarchical(panes, FOLD, windows.recent(windows.with_pane(e, "ts", "1 day"), 5), "user_id")
+
+
+@query()
+def tumbling_kll(s, d):
+    panes = windows.recent(windows.kll_panes(events(s, d), "ts", "1 day", "value"), 7)
+    return quantiles.kll_quantiles(quantiles.kll_merge(panes), QS)
+
+
 @query(f"WITH r AS ({S.hll(_DAY, 'user_id', by='window_start')}) {S.hll_classic('r', by='window_start')}")
 def tumbling_hll(s, d):
     panes = registry.family("hll").build(windows.with_pane(events(s, d), "ts", "1 day"), "user_id", ["window_start"])
@@ -646,9 +863,9 @@ def theta_overlap(s, d):
 # Order of arrival
 
 
-@query()
+@query(S.hip("events", "user_id", "ts", "event_type"))
 def hip_estimate(s, d):
-    return ordered.hip(events(s, d), "user_id", "ts", group="event_type")
+    return rounded(cardinality.hip(events(s, d), "user_id", "ts", by="event_type"), "est")
 
 
 @query()
@@ -663,9 +880,42 @@ def coco_partial_key(s, d):
     return ordered.coco_estimate(ordered.coco(e, "k"), "click|")
 
 
-@query()
+WEEK = 7 * 86400.0
+
+
+def _eh_sql(k: int, window: float) -> str:
+    """WITH parts b (event_type, t, user_id, bucket) and span (event_type, bucket, start, "end", cnt): levels by recursion."""
+    t = -(-k // 2) + 2
+    return (
+        "r AS (SELECT event_type, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS r FROM events), "
+        f"lv AS (SELECT event_type, count(*) AS x, 0 AS j, CAST(0 AS BIGINT) AS behind, CAST(0 AS BIGINT) AS number FROM r GROUP BY event_type UNION ALL SELECT event_type, gone, j + 1, behind + (x - 2 * gone) * CAST(pow(2, j) AS BIGINT), number + x - 2 * gone FROM (SELECT *, greatest(0, (x - {t - 2}) // 2) AS gone FROM lv) WHERE gone > 0), "
+        f"z AS (SELECT *, x - 2 * greatest(0, (x - {t - 2}) // 2) AS own, CAST(pow(2, j) AS BIGINT) AS size FROM lv), "
+        "b AS (SELECT r.event_type, t, user_id, number + (r - 1 - behind) // size AS bucket FROM r JOIN z ON r.event_type = z.event_type AND r.r > behind AND r.r <= behind + own * size), "
+        f"span AS (SELECT * EXCLUDE (newest) FROM (SELECT event_type, bucket, min(t) AS start, max(t) AS \"end\", count(*) AS cnt, max(max(t)) OVER (PARTITION BY event_type) AS newest FROM b GROUP BY event_type, bucket) WHERE \"end\" >= newest - {window})"
+    )
+
+
+@query(f'WITH RECURSIVE {_eh_sql(8, WEEK)} SELECT event_type, round(start, 3) AS start, round("end", 3) AS "end", cnt, CAST(cnt AS DOUBLE) AS total FROM span')
 def eh_sliding(s, d):
-    return ordered.exponential_histogram(events(s, d), "event_type", "ts", k=8, window=7 * 86400.0)
+    return ordered.exponential_histogram(events(s, d), "event_type", "ts", k=8, window=WEEK).withColumns({c: F.round(c, 3) for c in ("start", "end")})
+
+
+#: 2024-01-20 and a week later, in seconds
+FROM, TO = 1705708800.0, 1706313600.0
+_INSIDE = f'"end" >= {FROM} AND start <= {TO} AND (start >= {FROM} OR {FROM} - start <= "end" - {FROM})'
+
+
+@query(f"WITH RECURSIVE {_eh_sql(16, 4 * WEEK)}, i AS (SELECT b.event_type, user_id FROM b JOIN span USING (event_type, bucket) WHERE {_INSIDE}), g AS ({S.hll('i', 'user_id', by='event_type')}) {S.hll_classic('g', by='event_type')}")
+def eh_interval(s, d):
+    built = histogram.sketches(events(s, d), "user_id", "hll", "ts", k=16, window=4 * WEEK, by=["event_type"])
+    return registry.family("hll").ask("card", histogram.merged(built, "hll", FROM, TO, by=["event_type"]), by=["event_type"])
+
+
+@query()
+def eh_hybrid(s, d):
+    e = events(s, d)
+    maps, layered = histogram.hybrid(e, "user_id", "ts", k=8, window=4 * WEEK, most_keys=100)
+    return histogram.hybrid_metrics(maps, layered, FROM, TO)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

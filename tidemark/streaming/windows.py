@@ -14,8 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import matrix, quantiles
-from tidemark.operators.matrix import MatrixConfig, _names
+from tidemark.functions.groups import names as _names
+from tidemark.operators import matrix, quantiles, universal
+from tidemark.operators.matrix import MatrixConfig
+from tidemark.operators.universal import UnivConfig
 
 PANE = "window_start"
 
@@ -37,7 +39,7 @@ def with_session(df: DataFrame, time: str, gap: str, by: Sequence[str]) -> DataF
 
 
 def matrix_panes(df: DataFrame, time: str, size: str, key: str, config: MatrixConfig, *, weight: str | None = None, slide: str | None = None) -> DataFrame:
-    """(window_start, row, col, cnt). On a stream the key sums are left to the one stateful aggregation."""
+    """(window_start, row, col, cnt). On a stream this is one stateful aggregation."""
     panes = with_pane(df, time, size, slide)
     if not df.isStreaming:
         return matrix.build(panes, key, config, weight=weight, by=PANE)
@@ -56,12 +58,22 @@ def kll_panes(df: DataFrame, time: str, size: str, value: str, *, k: int = 200)
     return quantiles.kll(with_pane(df, time, size), value, k=k, by=PANE)
 
 
+def fold_panes(df: DataFrame, time: str, size: str, key: str, config: MatrixConfig, level: int, *, weight: str | None = None) -> DataFrame:
+    """(window_start, row, fold_col, col, cnt): folded sketches, ``level`` times half as wide; signed or not."""
+    return matrix.fold(matrix_panes(df, time, size, key, config, weight=weight), config, level)
+
+
+def query_hierarchical(panes: DataFrame, config: MatrixConfig, probes: DataFrame, key: str) -> DataFrame:
+    """(key, est) over all the given folded panes, merged at full width."""
+    return matrix.query(matrix.hierarchical_merge(panes, config=config).drop("fold_col"), probes, key, config)
+
+
 def recent(panes: DataFrame, n: int) -> DataFrame:
     """The newest n windows that exist, by their start; their number is small, the panes' rows are not ordered."""
     if n < 1:
         raise ValueError("n is at least 1")
     starts = panes.select(PANE).distinct().orderBy(F.desc(PANE)).limit(n)
-    return panes.join(F.broadcast(starts), PANE, "left_semi")
+    return panes.join(F.broadcast(starts), PANE, "left_semi")  # n rows
 
 
 def between(panes: DataFrame, start: Column | str, end: Column | str) -> DataFrame:
@@ -93,15 +105,13 @@ def interval_metrics(counts: DataFrame) -> DataFrame:
     return got.select("n", F.col("n").cast("double").alias("l1"), "l2", F.when(F.col("n") > 0, F.log2(F.col("n").cast("double")) - F.col("x_") / F.col("n")).otherwise(0.0).alias("entropy"), "card")
 
 
-def tiered_metrics(df: DataFrame, time: str, pane: str, key: str, start: str, end: str, *, most_keys: int = 80_000, weight: str | None = None) -> DataFrame:
+def tiered_metrics(df: DataFrame, time: str, pane: str, key: str, start: str, end: str, *, most_keys: int = 80_000, weight: str | None = None, config: UnivConfig = UnivConfig()) -> DataFrame:  # noqa: B008
     """The interval's metrics, exact up to ``most_keys`` distinct keys and from the layered sketch beyond; tier says which."""
-    from tidemark.operators import universal
-
     rows = between(with_pane(df, time, pane), start, end)
     keys = rows.agg(F.approx_count_distinct(key)).first()[0]
     if keys <= most_keys:
         return universal.exact_metrics(rows, key, weight=weight).withColumn("tier", F.lit("exact"))
-    return universal.metrics(rows, key, weight=weight).withColumn("tier", F.lit("sketch"))
+    return universal.metrics(rows, key, config, weight=weight).withColumn("tier", F.lit("sketch"))
 
 
 def newest_by_group(panes: DataFrame, by: Sequence[str], n: int) -> DataFrame:
@@ -109,29 +119,40 @@ def newest_by_group(panes: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     return panes.withColumn("r_", F.dense_rank().over(order)).where(F.col("r_") <= n).drop("r_")
 
 
-def streaming_histogram(df: DataFrame, group: str, time: str, *, k: int, window: float) -> DataFrame:
-    """(group, start, end, cnt): exponential histograms kept as state, one list of buckets a group; each trigger gives the
-    buckets of the groups that got rows. Needs the RocksDB state store."""
+def streaming_histogram(df: DataFrame, group: str, time: str, *, k: int, window: float, value: str | None = None, norm: str = "l1", ttl_ms: int | None = None) -> DataFrame:
+    """(group, start, end, cnt, total): exponential histograms kept as state, one list of buckets a group; each trigger gives
+    the buckets of the groups that got rows. A trigger's rows of a group are taken in order of time. State of groups that
+    have been silent for ``ttl_ms`` goes, if that is given. Needs the RocksDB state store."""
     from pyspark.sql.streaming import StatefulProcessor
 
     from tidemark.operators.ordered import ExponentialHistogram
 
+    names = ("start", "end", "cnt", "total")
+
     class Buckets(StatefulProcessor):
         def init(self, handle) -> None:
-            self.state = handle.getListState("buckets", "start double, end double, cnt long, total double")
+            self.state = handle.getListState("buckets", "start double, end double, cnt long, total double", ttl_ms)
 
         def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-            held = ExponentialHistogram(k, window)
+            held = ExponentialHistogram(k, window, norm)
             held.buckets = [list(b) for b in self.state.get()] if self.state.exists() else []
-            for pdf in rows:
-                for t in sorted(pdf["t_"].tolist()):
-                    held.update(t)
+            for t, v in sorted((t, v) for pdf in rows for t, v in zip(pdf["t_"].tolist(), pdf["v_"].tolist(), strict=True)):
+                held.update(t, v)
             self.state.put([(float(a), float(b), int(c), float(d)) for a, b, c, d in held.buckets])
-            yield pd.DataFrame({group: [key[0]] * len(held.buckets), "start": [b[0] for b in held.buckets], "end": [b[1] for b in held.buckets], "cnt": [int(b[2]) for b in held.buckets]})
+            yield pd.DataFrame({group: [key[0]] * len(held.buckets)} | {n: [b[i] for b in held.buckets] for i, n in enumerate(names)}).astype({"cnt": "int64"})
 
         def close(self) -> None:
             pass
 
     kind = dict(df.dtypes)[group]
-    few = df.select(group, F.col(time).cast("timestamp").cast("double").alias("t_"))
-    return few.groupBy(group).transformWithStateInPandas(Buckets(), f"{group} {kind}, start double, end double, cnt long", "Update", "None")
+    v = F.lit(1.0) if value is None else F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    few = df.where(F.col(time).isNotNull()).select(group, F.col(time).cast("timestamp").cast("double").alias("t_"), v.alias("v_"))
+    return few.groupBy(group).transformWithStateInPandas(Buckets(), f"{group} {kind}, start double, end double, cnt long, total double", "Update", "ProcessingTime" if ttl_ms else "None")
+
+
+def live(panes: DataFrame, name: str, *, mode: str = "complete", checkpoint: str | None = None):
+    """Starts a stream of sketch rows into an in-memory table and returns (query, read): ``read()`` is the sketch as of the
+    last trigger, which can be asked while the stream runs. Sketches are bounded, so the table is."""
+    out = panes.writeStream.format("memory").queryName(name).outputMode(mode)
+    query = (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
+    return query, lambda: panes.sparkSession.table(name)
