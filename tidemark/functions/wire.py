@@ -10,14 +10,17 @@ values. Encoding works on one sketch's packed state; sketches of many groups are
 from __future__ import annotations
 
 import struct
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.functions import groups
 
 VERSION = 1
 KINDS = {"hll_classic": b"\x01\x01", "hll_ertl": b"\x01\x02", "hll_hip": b"\x01\x03", "count_min": b"\x02\x00"}
@@ -216,52 +219,104 @@ def decode_count_min(data: bytes, profile: HashProfile = OWN) -> tuple[np.ndarra
     return np.array(state[0], dtype=np.int64 if kind_of is int else np.float64).reshape(shape["rows"], shape["cols"]), shape["mode"]
 
 
-def _packed(sketch: DataFrame, by: Sequence[str], columns: Sequence[str], make) -> DataFrame:
-    """One envelope a group. A group's rows are bounded by the sketch's shape, so they fit a task."""
+def packed(sketch: DataFrame, by: Sequence[str], columns: Sequence[str], make: Callable[[pa.Table], bytes]) -> DataFrame:
+    """One envelope a group, null or not. A group's rows are bounded by the sketch's shape, so they fit a task."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     by = list(by)
     df = sketch if by else sketch.withColumn("all_", F.lit(0))
     keys = by or ["all_"]
-    schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes) + ", envelope binary"
+    few = df.select(*keys, *columns)
+    kind = T.StructType([*few.schema.fields[: len(keys)], T.StructField("envelope", T.BinaryType())])
+    arrow = to_arrow_schema(kind)
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, make(pdf)]], columns=[*keys, "envelope"])
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        return pa.table([*(pa.array([k.as_py()], type=f.type) for k, f in zip(key, arrow, strict=False)), pa.array([make(t)], type=pa.binary())], schema=arrow)
 
-    out = df.select(*keys, *columns).groupBy(*keys).applyInPandas(one, schema)
+    out = few.groupBy(*keys).applyInArrow(one, kind)
     return out if by else out.drop("all_")
 
 
+def unpacked(envelopes: DataFrame, by: Sequence[str], schema: str, read: Callable[[bytes], dict[str, Sequence]]) -> DataFrame:
+    """(groups..., columns of ``schema``) of what ``read`` gives for each envelope, as lists of equal length."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    few = envelopes.select(*by, "envelope")
+    own = T.StructType.fromDDL(schema)
+    kind = T.StructType([*few.schema.fields[:-1], *own.fields])
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data in enumerate(batch.column("envelope").to_pylist()):
+                got = read(data)
+                n = len(next(iter(got.values())))
+                yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(c)[i].as_py()] * n, type=arrow.field(c).type) for c in by), *(pa.array(got[f.name], type=arrow.field(f.name).type) for f in own)], schema=arrow)
+
+    return few.mapInArrow(run, kind)
+
+
+def _registers(t: pa.Table, p: int) -> np.ndarray:
+    out = np.zeros(1 << p, dtype=np.uint8)
+    out[t.column("reg").to_numpy()] = t.column("rho").to_numpy()
+    return out
+
+
 def pack_hll(sketch: DataFrame, *, p: int, by: Sequence[str] = (), variant: str = "hll_classic", profile: HashProfile = OWN) -> DataFrame:
-    def make(pdf: pd.DataFrame) -> bytes:
-        registers = np.zeros(1 << p, dtype=np.uint8)
-        registers[pdf["reg"]] = pdf["rho"]
-        return encode_hll(registers, variant, profile=profile)
+    return packed(sketch, by, ["reg", "rho"], lambda t: encode_hll(_registers(t, p), variant, profile=profile))
+
 
-    return _packed(sketch, by, ["reg", "rho"], make)
+def pack_hip(sketch: DataFrame, estimates: DataFrame, *, p: int, by: Sequence[str] = (), profile: HashProfile = OWN) -> DataFrame:
+    """Envelopes of registers and their groups' (groups..., est); the running sums follow from the registers."""
+
+    def make(t: pa.Table) -> bytes:
+        registers = _registers(t, p)
+        low = registers < 32
+        sums = [float(np.ldexp(1.0, -registers[x].astype(np.int32)).sum()) for x in (low, ~low)]
+        return encode_hll(registers, "hll_hip", (*sums, float(t.column("est")[0].as_py())), profile)
+
+    return packed(groups.join(sketch, estimates.select(*by, "est"), by), by, ["reg", "rho", "est"], make)
+
+
+def unpack_hll(envelopes: DataFrame, *, by: Sequence[str] = (), profile: HashProfile = OWN) -> DataFrame:
+    """(groups..., reg, rho) of envelopes of any variant."""
+
+    def read(data: bytes) -> dict[str, Sequence]:
+        registers = decode_hll(data, profile)[1]
+        at = np.flatnonzero(registers)
+        return {"reg": at.astype(np.int32), "rho": registers[at].astype(np.int32)}
+
+    return unpacked(envelopes, by, "reg int, rho int", read)
 
 
 def pack_count_min(sketch: DataFrame, *, rows: int, cols: int, by: Sequence[str] = (), mode: str = "fast", profile: HashProfile = OWN) -> DataFrame:
-    def make(pdf: pd.DataFrame) -> bytes:
-        counts = np.zeros((rows, cols), dtype=np.int64)
-        counts[pdf["row"], pdf["col"]] = pdf["cnt"]
-        return encode_count_min(counts, mode, profile)
+    """Counters are whole numbers or doubles, as the sketch's column is."""
+    kind = np.float64 if dict(sketch.dtypes)["cnt"] in ("double", "float") else np.int64
+    return packed(sketch, by, ["row", "col", "cnt"], lambda t: encode_count_min(grid(t, rows, cols, kind), mode, profile))
 
-    return _packed(sketch, by, ["row", "col", "cnt"], make)
 
+def grid(t: pa.Table, rows: int, cols: int, kind: type = np.float64) -> np.ndarray:
+    """The matrix of (row, col, cnt)."""
+    counts = np.zeros((rows, cols), dtype=kind)
+    counts[t.column("row").to_numpy(), t.column("col").to_numpy()] = t.column("cnt").to_numpy()
+    return counts
 
-def unpack_count_min(packed: DataFrame, *, by: Sequence[str] = (), profile: HashProfile = OWN) -> DataFrame:
-    """(groups..., row, col, cnt) of envelopes."""
-    by = list(by)
-    few = packed.select(*by, "envelope")
-    schema = ", ".join([*(f"{k} {t}" for k, t in few.select(*by).dtypes), "row int", "col long", "cnt long"]) if by else "row int, col long, cnt long"
 
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False, name=None):
-                counts, _ = decode_count_min(bytes(r[-1]), profile)
-                i, j = np.nonzero(counts)
-                yield pd.DataFrame({**{k: [v] * len(i) for k, v in zip(by, r, strict=False)}, "row": i.astype(np.int32), "col": j, "cnt": counts[i, j]})
+def cells_of(counts: np.ndarray) -> dict[str, Sequence]:
+    i, j = np.nonzero(counts)
+    return {"row": i.astype(np.int32), "col": j, "cnt": counts[i, j]}
+
+
+def unpack_count_min(envelopes: DataFrame, *, by: Sequence[str] = (), counter: str = "long", profile: HashProfile = OWN) -> DataFrame:
+    """(groups..., row, col, cnt) of envelopes; ``counter`` is long or double, and envelopes of the other kind raise."""
+
+    def read(data: bytes) -> dict[str, Sequence]:
+        counts, _ = decode_count_min(data, profile)
+        if (counts.dtype.kind == "f") != (counter == "double"):
+            raise ValueError(f"the envelope doesn't hold counters of type {counter}")
+        return cells_of(counts)
 
-    return few.mapInPandas(run, schema)
+    return unpacked(envelopes, by, f"row int, col long, cnt {counter}", read)
 
 
 def varint_pairs(registers: np.ndarray) -> bytes:
