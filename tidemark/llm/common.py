@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources import scratch
+
 #: Characters of text that one slice of an Arrow batch holds, unless a single text is longer.
 SLICE_BYTES = 2 << 20
 #: Bytes of an Arrow batch, unless a single row is longer.
@@ -42,42 +42,12 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get()
-    return base.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage; a lost executor costs no more than a reread."""
+class Scratch(scratch.Scratch):
+    """Intermediate tables; see ``tidemark.sources.scratch``."""
 
     def __init__(self, spark: SparkSession):
         bounded_batches(spark)
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.base}/{self.count:04d}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._tidemark_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for t in tables:
-            if path := getattr(t, "_tidemark_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+        super().__init__(spark)
 
 
 #: Ids that a join may broadcast, some tens of megabytes; more are joined by a shuffle.
