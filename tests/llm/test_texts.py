@@ -146,6 +146,63 @@ def test_names_lower_but_do_not_veto():
     assert html_text.main_text(f"<body><div class='content no-sidebar'>{ARTICLE}</div>{comments}</body>").startswith(WANT)
 
 
+def test_values_and_parts_of_names_are_no_marks():
+    body = "Hello, and welcome to a page of some words."
+    assert html_text.main_text(f'<div><p title="the hidden truth">{body}</p></div>') == body
+    assert html_text.main_text(f"<div><p data-x='role=navigation class=menu id=nav'>{body}</p></div>") == body
+    assert html_text.main_text(f'<div class="ad-free"><p>{body}</p></div>') == body
+    assert html_text.main_text(f'<article>{ARTICLE}<h2 id="legal-history">History</h2><div class="side-by-side"><p>{body}</p></div></article>') == f"{WANT}\n\nHistory\n\n{body}"
+    against = ["menu", "site-header", "cookie-notice", "main_nav", "comment-list", "sidebar-left", "adSlot", "related-posts", "x  footer"]
+    assert [n for n in against if not html_text.names_against(n)] == []
+    plain = ["", "ad-free", "legal-history", "side-by-side", "has-sidebar", "no-sidebar", "content with-sidebar", "story", "list", "download", "headers-explained", "1"]
+    assert [n for n in plain if html_text.names_against(n)] == []
+
+
+def plain_content(found, against):
+    """The path figures, straight from their definition."""
+    kept = [((p, i, against[abs(n)]), t, k) for p, never, i, n, t, k in found if not never]
+    keys = {key for key, *_ in kept}
+    of = {key: [(t, k) for x, t, k in kept if x == key] for key in keys}
+    length = {key: sum(len(t) for t, _ in v) / len(v) for key, v in of.items()}
+    marks = {key: sum(len(html_text.MARKS.findall(t)) for t, _ in v) / len(v) for key, v in of.items()}
+    links = {key: sum(k for _, k in v) / sum(len(t) for t, _ in v) for key, v in of.items()}
+    inside, every = (sum(max(0, len(t) - k) * (0.05 if key[2] else 1) for key, t, k in kept if key[1] or x) for x in (False, True))
+    trust = 1 + inside / every if every else 1.0
+    figure = {}
+    for at, (key, *_) in enumerate(kept):
+        weights = {d: w for d, w in ((-2, 0.06), (-1, 0.24), (0, 0.4), (1, 0.24), (2, 0.06)) if 0 <= at + d < len(kept)}
+        smooth = [sum(w * r[kept[at + d][0]] for d, w in weights.items()) / sum(weights.values()) for r in (length, marks)]
+        x = (smooth[0] * (0.5 + smooth[1])) ** 0.5 * (1 - min(1.0, links[key])) * min(1.0, length[key] / 20) ** 0.5 * (0.05 if key[2] else 1)
+        figure[key] = max(figure.get(key, 0.0), x)
+    top = max(figure.values(), default=0.0)
+    return {k for k, x in figure.items() if x > 0 and not (links[k] > 0.6 and not (k[1] and marks[k])) and (x * trust if k[1] else x / trust) >= 0.15 * top}
+
+
+def test_path_figures_against_their_definition():
+    rng = random.Random(9)
+    pages = pd.read_parquet("/root/testdata/sf0.001/pages.parquet").html.tolist()[:40]
+    tags = ["div", "p", "div class=a", "div class=menu", "article", "main", "section", "ul", "li", "h2", "footer", "a href=x", "td"]
+    for _ in range(300):
+        pages.append("".join(rng.choice([f"<{t}>", f"</{t.split()[0]}>", "Some words, here. ", "x ", "A longer line of words, with marks; and more. "]) for t in rng.choices(tags, k=rng.randint(1, 40))))
+    for page in pages:
+        found, around = html_text.blocks_of(page)
+        against = html_text.told_against(found, around)
+        assert html_text.content_paths(found, against) == plain_content(found, against)
+
+
+def test_pages_agree_without_their_marks():
+    for page in pd.read_parquet("/root/testdata/sf0.001/pages.parquet").html:
+        plain = re.sub(r"(</?)(?:article|main)\b", r"\1div", page)
+        assert html_text.main_text(plain) == html_text.main_text(page)
+
+
+def test_depth_and_length_have_no_limit():
+    deep = "".join(f"<div class=c{i}>" for i in range(5000))
+    assert html_text.main_text(f"<nav>{deep}Home{'</div>' * 5000}</nav>{deep}<div>{ARTICLE}</div>") == WANT
+    long = "<p>Words of a line, and more of them.</p>" * 40_000
+    assert html_text.main_text(f"<body><div class=nav>{'<a>x</a>' * 50}</div><div>{long}</div></body>").count("\n\n") == 39_999
+
+
 def test_pages_against_their_articles():
     import html
 
@@ -178,11 +235,19 @@ def test_shards(spark, docs_of, tmp_path):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
     sums = got.groupby("shard")["size"].sum()
     assert len(sums) == 16 and sums.max() - sums.min() <= 2 * max(size)
-    assert sharding.byte_shards(docs_of([])).count() == 0
+    assert sharding.byte_shards(docs_of([])).count() == sharding.byte_shards(docs_of([]), 3).coalesce(1).count() == 0
     twice = docs_of(["a"] * 50).union(docs_of(["a"] * 50))
     assert sharding.byte_shards(twice, 4).groupBy("shard").count().toPandas()["count"].tolist() == [25] * 4
 
 
+def test_shards_stay_the_same_however_they_are_read(spark, docs_of):
+    made = sharding.byte_shards(docs_of(["x" * (i % 53) for i in range(400)]).repartition(7), 8)
+    want = sorted(map(tuple, made.collect()))
+    assert len(want) == 400 and sorted(map(tuple, made.coalesce(1).collect())) == sorted(map(tuple, made.repartition(3).collect())) == want
+    assert sorted(map(tuple, made.union(made).collect())) == sorted(want * 2)
+    assert set(map(tuple, made.limit(90).collect())) <= set(want)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

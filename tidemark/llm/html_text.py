@@ -10,7 +10,8 @@ the markup marks the article, paths inside weigh more and paths outside less, by
 of them have to pass the threshold.
 
 Null and empty html give an empty text. Unclosed tags, comments and quotes are read as browsers do, roughly: a paragraph
-ends where the next block starts, an unclosed comment or script runs to the end. Pages are read whole.
+ends where the next block starts, an unclosed comment or script runs to the end. Pages are read whole, at any depth and
+length. Repeated pages are rows of their own, an empty table gives no rows, and columns that aren't asked for don't matter.
 """
 
 from __future__ import annotations
@@ -29,17 +30,27 @@ from pyspark.sql import types as T
 from tidemark.llm.common import bounded_batches, slices, table
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>""", re.S)
-ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute with its value, so that names inside of values are never taken for attributes.
+ATTR = re.compile(r"""([^\s"'<>/=][^\s<>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "ruby", "rt", "rp", "nobr"}
 NEVER = {"head", "script", "style", "title", "textarea", "noscript", "template", "nav", "header", "footer", "aside", "button", "select", "option", "fieldset", "dialog", "iframe", "svg", "canvas", "object", "menu", "noembed", "noframes", "xmp", "audio", "video", "map"}
 NEVER_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar"}
-#: Words that name what is hardly ever main text, but not "no-sidebar" or "has-sidebar", which tell of a layout.
-NAME = re.compile(
-    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|notification|alert|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|widget|footer|header|masthead|topbar|comments?|commentlist|respond|discuss\w*|disqus\w*|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|form|search|toolbar|pagination|pager|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
-    re.I,
-)
+#: What a class or id names that is hardly ever main text. The last word of a name says what it is: a site-header is a
+#: header, but ad-free, legal-history or side-by-side are none of these.
+NAMES = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "adslot", "sponsor", "sponsored", "sponsors", "promo", "promos", "promotion", "banner",
+    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "notifications", "alert", "popup", "modal", "overlay",
+    "menu", "menus", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "aside", "widget", "widgets", "footer", "header", "masthead", "topbar",
+    "comment", "comments", "commentlist", "respond", "discussion", "disqus", "reply", "replies", "share", "sharing", "social", "related", "recommended", "recommendations",
+    "newsletter", "subscribe", "subscription", "signup", "login", "form", "search", "toolbar", "pagination", "pager", "copyright", "legal", "disclaimer",
+}
+#: Words at the end of a name that say where or what kind of box, not what is in it.
+TAILS = {"area", "bar", "block", "body", "bottom", "box", "buttons", "container", "content", "group", "holder", "icons", "inner", "item", "items", "left", "links", "list", "outer", "panel", "posts", "right", "section", "slot", "stories", "top", "unit", "wrap", "wrapper", "zone"}
+#: Words that tell of a layout with or without such a box.
+ABOUT = {"has", "no", "not", "with", "without"}
+PARTS = re.compile(r"[A-Z]?[^\W_A-Z\d]+|[A-Z]+")
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "figcaption", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 SCOPE = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "html", "main", "select", "td", "th", "blockquote"}
@@ -51,21 +62,31 @@ LINKS = 0.6
 ARTICLE = 2.0
 #: What names that tell against main text leave of a path's figure.
 NAMED = 0.05
-#: Levels of nesting that paths tell apart.
-DEEPEST = 256
 MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, int, str, int]], list[int]]:
-    """(path, never counts, inside the marked article, named element, text, characters in links) of all blocks in page order.
+def names_against(names: str) -> bool:
+    """Whether one of the classes or ids names what is hardly ever main text."""
+    for name in names.split():
+        words = [w.lower() for w in PARTS.findall(name)]
+        while len(words) > 1 and words[-1] in TAILS:
+            words.pop()
+        if words and words[-1] in NAMES and not ABOUT.intersection(words):
+            return True
+    return False
+
+
+def blocks_of(page: str) -> tuple[list[tuple[int, bool, bool, int, str, int]], list[int]]:
+    """(number of the path, never counts, inside the marked article, named element, text, characters in links) of all blocks in page order.
 
     Elements whose names tell against main text are numbered from 1 on; a block has the innermost one around it, or 0, and
     that number negative where the text is the element's own. The second result has, for each of them, the next one around it.
     """
-    out: list[tuple[str, bool, bool, int, str, int]] = []
+    out: list[tuple[int, bool, bool, int, str, int]] = []
     around = [0]
-    # an open tag: its name, the path so far, whether its content never counts, whether it is in the article, the named element
-    stack: list[tuple[str, str, bool, bool, int]] = [("", "", False, False, 0)]
+    paths: dict[tuple[int, str, str], int] = {}  # a path's number by the path around it, the tag and its first class
+    # an open tag: its name, the number of its path, whether its content never counts, whether it is in the article, the named element
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
     # where in the stack the open tags of each name are, and those that end a search
     places: defaultdict[str, list[int]] = defaultdict(list)
     scopes: list[int] = []
@@ -145,14 +166,16 @@ def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, int, str, int]], l
                 end(k)
         else:
             close()
-        held = {a.lower(): (b or c or d or "") for a, b, c, d in ATTR.findall(attrs)} if attrs else {}
+        held: dict[str, str] = {}
+        for a, b, c, d in ATTR.findall(attrs) if attrs else ():
+            held.setdefault(a.lower(), b or c or d)  # the first one counts
         _, path, never, inside, named = stack[-1]
         names = f"{held.get('class', '')} {held.get('id', '')}"
         role = held.get("role", "").lower()
         body = name in ("html", "body")
         # a page's own header and the like may stand inside the article: they never count either
         never = never or name in NEVER or role in NEVER_ROLE or "hidden" in held
-        if not never and not body and (name == "form" or role == "form" or (names.strip() and NAME.search(names))):
+        if not never and not body and (name == "form" or role == "form" or names_against(names)):
             around.append(named)
             named = len(around) - 1
         inside = inside or name in ("article", "main") or role in ("main", "article")
@@ -163,8 +186,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, int, str, int]], l
             continue
         if name == "a":
             links = 0
-        if len(stack) < DEEPEST:  # as browsers do, deeper tags count as their parent
-            path += f"/{name}" + (f".{held['class'].split()[0]}" if held.get("class", "").split() else "")
+        path = paths.setdefault((path, name, (held.get("class", "").split() or [""])[0]), len(paths) + 1)
         places[name].append(len(stack))
         if name in SCOPE:
             scopes.append(len(stack))
@@ -173,7 +195,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, int, str, int]], l
     return out, around
 
 
-def told_against(found: list[tuple[str, bool, bool, int, str, int]], around: list[int]) -> list[bool]:
+def told_against(found: list[tuple[int, bool, bool, int, str, int]], around: list[int]) -> list[bool]:
     """For each named element, whether its name counts: not where elements in it hold more than half of the page's text outside links."""
     held = [0.0] * len(around)
     for _, never, inside, named, text, n in found:
@@ -184,7 +206,7 @@ def told_against(found: list[tuple[str, bool, bool, int, str, int]], around: lis
     return [k > 0 and 2 * x <= held[0] for k, x in enumerate(held)]
 
 
-def content_paths(found: list[tuple[str, bool, bool, int, str, int]], against: list[bool]) -> set[tuple[str, bool, bool]]:
+def content_paths(found: list[tuple[int, bool, bool, int, str, int]], against: list[bool]) -> set[tuple[int, bool, bool]]:
     """The paths, each with whether it is inside the marked article and named against, whose weighted ratio passes."""
     kept = [((path, inside, against[abs(named)]), text, n) for path, never, inside, named, text, n in found if not never]
     size, marks, count, linked, plain = (defaultdict(float) for _ in range(5))
@@ -197,7 +219,7 @@ def content_paths(found: list[tuple[str, bool, bool, int, str, int]], against: l
     # the mark of the article is worth as much as the share of the page's text that it holds: a marked teaser is worth little
     trust = 1 + (ARTICLE - 1) * plain[True] / ((plain[True] + plain[False]) or 1.0)
     ratio = [(size[key] / count[key], marks[key] / count[key]) for key, *_ in kept]
-    best: dict[tuple[str, bool, bool], float] = defaultdict(float)
+    best: dict[tuple[int, bool, bool], float] = defaultdict(float)
     for k, (key, *_) in enumerate(kept):
         near = [(w, ratio[k + d]) for d, w in ((-2, 0.06), (-1, 0.24), (0, 0.4), (1, 0.24), (2, 0.06)) if 0 <= k + d < len(kept)]
         total = sum(w for w, _ in near)
