@@ -22,9 +22,51 @@ def test_topk_equals_sql(spark, data, monkeypatch):
     assert sorted(map(tuple, topk_search.op2_topk(spark, data).collect())) == want
     monkeypatch.setattr(topk_search, "QUERIES", 2)
     monkeypatch.setattr(topk_search, "CELLS", 100)
+    monkeypatch.setattr(topk_search, "SCAN_BYTES", 2000)
     assert sorted(map(tuple, topk_search.op2_topk(spark, data).collect())) == want
 
 
+def test_topk_of_many_queries_and_hard_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    plain, skew = rng.normal(size=(300, 12)), rng.normal(size=(300, 12)) * np.array([5] * 3 + [0.01] * 9)
+    for vectors, scale in ((plain, 1), (skew, 1), (np.round(plain), 1), (-np.abs(plain), 1), (plain, 2.0**17)):
+        held = [(i % 290, [float(x) * scale for x in v]) for i, v in enumerate(vectors)] + [(None, [1.0] * 12)]
+        df = spark.createDataFrame(held, "vec_id long, embedding array<double>")
+        v = np.array([[int(np.floor(1024.0 * e)) for e in x] for i, x in held if i is not None], dtype=object)
+        ids = np.array([i for i, _ in held if i is not None])
+        first = {}
+        for i, x in zip(ids.tolist(), v.tolist(), strict=True):
+            first[i] = min(first.get(i, x), x)
+        monkeypatch.setattr(topk_search, "QUERIES", 64)
+        monkeypatch.setattr(topk_search, "CELLS", 5000)
+        got = defaultdict(list)
+        for r in topk_search.top_k(df, df, 5).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        assert got.keys() == first.keys()
+        for i, x in first.items():
+            score = [int(n) for n in v @ np.array(x, dtype=object)]
+            want = sorted(((int(j), n) for j, n in zip(ids, score, strict=True) if j != i), key=lambda p: (-p[1], p[0]))[:5]
+            assert got[i] == want
+
+
+def test_the_cutoff_spares_products(spark):
+    rng = np.random.default_rng(9)
+    falling = 0.9 ** np.arange(64)  # as vectors of principal components are
+    q, c = (np.floor(1024 * x * falling).astype(np.int64) for x in (rng.normal(size=(50, 64)), rng.normal(size=(4000, 64))))
+    made = []
+
+    class Counted(topk_search._Scores):
+        def part(self, j):
+            made.append(j)
+            return super().part(j)
+
+    whole = q @ c.T
+    cutoff = np.sort(whole, axis=1)[:, -10]
+    i, j, score = topk_search._sufficient(Counted(q, c), cutoff)
+    assert len(made) < topk_search.LISTS and (score == whole[i, j]).all()
+    assert {*zip(i.tolist(), j.tolist(), strict=True)} >= {*zip(*(x.tolist() for x in np.nonzero(whole >= cutoff[:, None])), strict=True)}
+
+
 def test_topk_edges(spark):
     rows = [(0, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [float("inf"), 0.0]), (6, [None, 1.0]), (7, [-1.0]), (8, []), (100, [-0.001, 0.25, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
