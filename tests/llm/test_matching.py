@@ -168,7 +168,9 @@ def brute_matches(text, items):
     return sorted((k, a, round(s, 9)) for k, (s, a) in out.items())
 
 
-def test_decontamination_equals_brute_force(spark, docs_of):
+@pytest.mark.parametrize("most", [20_000, 4])
+def test_decontamination_equals_brute_force(spark, docs_of, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "ITEMS", most)
     rng = random.Random(11)
     items = [(i, " ".join(rng.choice(WORDS) for _ in range(n))) for i, n in enumerate([1, 3, 5, 6, 16, 30, 38, 38, 59, 38])] + [(10, None), (11, ""), (12, "...")]
     items.append((13, items[6][1]))
@@ -195,6 +197,30 @@ def test_decontamination_equals_brute_force(spark, docs_of):
     assert decontamination.without_benchmark(docs_of(texts), none).count() == len(texts)
 
 
+def test_many_equal_items_are_one_text(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(decontamination, "ITEMS", 50)
+    texts = [" ".join(WORDS[20 * i : 20 * i + 20]) for i in range(60)]
+    items = spark.createDataFrame([(i, texts[0]) for i in range(10_000)] + [(20_000 + i, t) for i, t in enumerate(texts)] + [(None, texts[1])], "item_id long, text string")
+    held = decontamination._Items(items, "item_id", "text")
+    assert held.blocks == 2 and sum(len(held.index(b).ids) for b in range(2)) == 60
+    docs = docs_of(["x y z " + texts[0], texts[1] + " and more", "none of it at all", None])
+    got = decontamination.benchmark_matches(docs, items).groupBy("doc_id").count()
+    assert {tuple(r) for r in got.collect()} == {(0, 10_001), (1, 2)}
+    assert sorted(r.doc_id for r in decontamination.without_benchmark(docs, items).collect()) == [2, 3]
+    with pytest.raises(ValueError):
+        decontamination.benchmark_matches(docs, items, item="doc_id")
+
+
+def test_long_items_are_compared_in_blocks():
+    rng = random.Random(4)
+    words = [rng.choice(WORDS) for _ in range(9000)]
+    item = " ".join(words[500:8500])
+    index = decontamination.ItemIndex([(1, item)])
+    (got,) = index.matches(" ".join(words))
+    assert got[:2] == (1, 500) and got[2] == 1.0
+    assert brute_matches(" ".join(words[:1200]), [(1, " ".join(words[100:1000]))]) == [(k, a, round(s, 9)) for k, a, s in decontamination.ItemIndex([(1, " ".join(words[100:1000]))]).matches(" ".join(words[:1200]))]
+
+
 def test_index_finds_all_within_the_radius():
     rng = random.Random(2)
     index = decontamination.ItemIndex([(i, " ".join(rng.choice(WORDS) for _ in range(20))) for i in range(50)])

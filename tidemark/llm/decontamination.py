@@ -12,8 +12,15 @@ a match is beyond 24 bits once in a million times at the threshold itself, and n
 A window without a single shingle of an item has similarity 0 to it. So only windows around words that share a shingle
 with some item are fingerprinted; this loses nothing and is what makes all window sizes affordable.
 
-Items go out in blocks of at most ITEMS items and CHARS characters, whatever the benchmark's size. Null or empty texts
-and items match nothing. Repeated items and documents match as rows of their own.
+Equal items are one text, whose matches are given to all of them by a join. Texts of items go out in blocks of about ITEMS
+texts and CHARS characters. Where one block suffices, documents are scanned once. Where it doesn't, the scans don't grow with
+the blocks: a first one gives the shingles of documents that a bounded Bloom filter of all items' shingles lets through,
+which are joined with the items' shingles; a second one fetches the documents that share a shingle with some block, and
+only these are compared, block by block.
+
+Null or empty texts and items match nothing. Repeated items and documents match as rows of their own, those with a null id,
+too. Empty tables give no matches. Columns besides those named don't matter, but the items' key must be named otherwise than
+the documents'. Texts and items of any length are compared whole, in blocks of windows.
 """
 
 from __future__ import annotations
@@ -29,11 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded_batches, per_text, remembers, table, take_turn
+from tidemark.llm.common import Scratch, bounded_batches, if_few, per_text, remembers, slices, table, take_turn
 
 SHINGLE, LEAST, RADIUS = 5, 0.8, 24
 ITEMS, CHARS = 20_000, 16 << 20
 REMEMBERED = 200_000
+#: Bits of the Bloom filter for each shingle, and at most.
+BITS_EACH, BITS_MOST = 32, 1 << 28
 WORD = re.compile(r"[^\W_]+")
 #: Bit ranges of the RADIUS + 1 blocks.
 BLOCKS = [(k * 64 // (RADIUS + 1), (1 << (k + 1) * 64 // (RADIUS + 1) - k * 64 // (RADIUS + 1)) - 1) for k in range(RADIUS + 1)]
@@ -75,6 +84,10 @@ def signs(shingles: np.ndarray) -> np.ndarray:
     return ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int32) * 2 - 1
 
 
+def sign_sum(shingles: np.ndarray) -> np.ndarray:
+    return sum((signs(shingles[a : a + 65_536]).sum(axis=0, dtype=np.int64) for a in range(0, len(shingles), 65_536)), np.zeros(64, np.int64))
+
+
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -104,7 +117,7 @@ class ItemIndex:
                 self.ids.append(key)
                 own = shingle_hashes(words, min(SHINGLE, len(words)))
                 self.shingles.append(own)
-                self.prints.append(int(fingerprints(signs(own).sum(axis=0)[None])[0]))
+                self.prints.append(int(fingerprints(sign_sum(own)[None])[0]))
         #: For each shingle size: the sorted shingles of its items and, for each, the items' numbers of words.
         self.known: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
         for size in {min(SHINGLE, n) for n in sized}:
@@ -163,9 +176,9 @@ class ItemIndex:
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
             for block in np.split(run, range(4096, len(run), 4096)):
                 a, b = int(block[0]), int(block[-1])
-                sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(own[a : b + width]), axis=0)])
-                ends = np.minimum(np.arange(len(block)) + width, len(sums) - 1)
-                prints = fingerprints(sums[ends] - sums[: len(block)])
+                # the first window's sum, and from one window to the next a shingle more and one less
+                steps = signs(own[a + width : b + width]).astype(np.int64) - signs(own[a:b]) if b > a else np.zeros((0, 64), np.int64)
+                prints = fingerprints(sign_sum(own[a : a + width]) + np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(steps, axis=0)]))
                 for start, f in zip(block.tolist(), prints.tolist(), strict=True):
                     for i in self.within(n, f):
                         s = similarity(own[start : start + width], self.shingles[i])
@@ -173,46 +186,139 @@ class ItemIndex:
                             best[i] = s, start
 
 
-def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items, a bounded block at a time."""
-    few = items.select(F.col(key).alias("key_"), F.col(text).cast("string").alias("text_")).where("text_ is not null")
-    n, chars = few.agg(F.count("*"), F.coalesce(F.sum(F.length("text_")), F.lit(0))).first()
-    blocks = max(1, -(-n // ITEMS), -(-chars // CHARS))
-    for b in range(blocks):
-        yield [(r.key_, r.text_) for r in few.where(F.pmod(F.xxhash64("key_", "text_"), F.lit(blocks)) == b).orderBy("key_", "text_").collect()]
+class _Items:
+    """The distinct texts of the items, numbered and dealt to blocks."""
 
+    def __init__(self, items: DataFrame, key: str, text: str):
+        self.scratch = Scratch(items.sparkSession)
+        given = items.select(F.col(key).alias("item_"), F.col(text).cast("string").alias("text_")).where("text_ is not null")
+        texts = given.select("text_").distinct()
+        n, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text_")), F.lit(0))).first()
+        self.blocks = max(1, -(-n // ITEMS), -(-chars // CHARS))
+        # written, since numbers may differ when they are made again
+        self.texts = self.scratch.save(texts.select(F.monotonically_increasing_id().alias("no_"), "text_", F.pmod(F.xxhash64("text_"), F.lit(self.blocks)).cast("int").alias("block_")))
+        self.owners = given.join(self.texts, "text_").select("no_", "item_")
 
-def benchmark_matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """A row for each row of ``docs`` and item that match: ``key``, ``item``, start_word and similarity."""
-    bounded_batches(docs.sparkSession)
-    out: DataFrame | None = None
-    few = docs.select(key, F.col(text).cast("string").alias("text_"))
-    item_kind = items.schema[item].dataType
-    kind = T.StructType([few.schema.fields[0], T.StructField(item, item_kind), T.StructField("start_word", T.LongType()), T.StructField("similarity", T.DoubleType())])
-    for block in item_blocks(items, item, text):
-        index = ItemIndex(block)
-
-        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
+    def index(self, block: int) -> ItemIndex:
+        """A block's texts, a bounded number."""
+        return ItemIndex([(r.no_, r.text_) for r in self.texts.where(F.col("block_") == block).orderBy("no_").collect()])
+
+    def near(self, docs: DataFrame) -> DataFrame:
+        """``docs`` (with text_) that share a shingle with some block, with those ``blocks_``; written."""
+
+        def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            take_turn("decontamination")
+            for batch in batches:
+                for t, block in zip(batch.column("text_").to_pylist(), batch.column("block_").to_pylist(), strict=True):
+                    words = word_hashes(t)
+                    if len(words):
+                        held = np.unique(shingle_hashes(words, min(SHINGLE, len(words)))).view(np.int64)
+                        n = len(held)
+                        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([min(SHINGLE, len(words))] * n, type=pa.int32()), pa.array([block] * n, type=pa.int32())], names=["s_", "size_", "block_"])
+
+        shingles = self.scratch.save(self.texts.select("text_", "block_").mapInArrow(of_items, "s_ long, size_ int, block_ int").distinct())
+        sizes = [r.size_ for r in shingles.select("size_").distinct().collect()]  # five at most
+        some = _Bloom.of(shingles)
+
+        def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take_turn("decontamination")
+            for whole in batches:
+                for batch in slices(whole, "text_"):
+                    digests, found = [], []
+                    for t, d in zip(batch.column("text_").to_pylist(), batch.column("digest_").to_pylist(), strict=True):
+                        words = word_hashes(t)
+                        own = np.unique(np.concatenate([shingle_hashes(words, z) for z in sizes])) if len(words) and sizes else np.zeros(0, np.uint64)
+                        own = own[some.may_hold(own)]
+                        digests += [d] * len(own)
+                        found.append(own)
+                    if digests:
+                        yield pa.RecordBatch.from_arrays([pa.array(digests, type=pa.string()), pa.array(np.concatenate(found).view(np.int64))], names=["digest_", "s_"])
+
+        marked = docs.where("text_ is not null").withColumn("digest_", F.md5("text_"))
+        hits = marked.select("text_", "digest_").mapInArrow(of_docs, "digest_ string, s_ long")
+        wanted = hits.join(shingles.select("s_", "block_"), "s_").select("digest_", "block_").distinct().groupBy("digest_").agg(F.collect_list("block_").alias("blocks_"))
+        return self.scratch.save(marked.join(self.scratch.save(wanted), "digest_"))
+
+
+class _Bloom:
+    """A bounded set of bits; what it doesn't hold is certainly not among the shingles."""
+
+    def __init__(self, bits: int):
+        self.mask = np.uint64(bits - 1)
+        self.held = np.zeros(bits >> 6, dtype=np.uint64)
+
+    def _places(self, h: np.ndarray) -> list[np.ndarray]:
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        return [(h + np.uint64(k) * step) & self.mask for k in range(8)]
+
+    @classmethod
+    def of(cls, shingles: DataFrame) -> _Bloom:
+        n = shingles.count()
+        out = cls(min(BITS_MOST, max(1 << 10, 1 << (n * BITS_EACH).bit_length())))
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(j, *m) for j, t in enumerate(batch.column("text_").to_pylist()) for m in index.matches(t)]
-                if rows:
-                    at, ids, start, s = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ids), pa.array(start, type=pa.int64()), pa.array(s, type=pa.float64())], names=kind.names)
+                at = np.concatenate(out._places(batch.column("s_").to_numpy().view(np.uint64)))
+                bit = np.uint64(1) << (at & np.uint64(63))
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array(bit.view(np.int64))], names=["word", "bit"])
 
-        made = few.mapInArrow(run, kind)
-        out = made if out is None else out.unionByName(made)
-    return out
+        # a row a word of the filter, which is bounded
+        made = shingles.select("s_").mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        out.held[made.column("word").to_numpy()] = made.column("bits").to_numpy().view(np.uint64)
+        return out
 
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        fine = np.ones(len(h), dtype=bool)
+        for at in self._places(h):
+            fine &= (self.held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        return fine
 
-def without_benchmark(docs: DataFrame, items: DataFrame, *, text: str = "text", item: str = "item_id") -> DataFrame:
+
+def _matched(few: DataFrame, index: ItemIndex) -> DataFrame:
+    """The columns of ``few`` but its last, the text, and no_, start_word and similarity of every match."""
+    kind = T.StructType([*few.schema.fields[:-1], T.StructField("no_", T.LongType()), T.StructField("start_word", T.LongType()), T.StructField("similarity", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("decontamination")
+        for batch in batches:
+            rows = [(j, *m) for j, t in enumerate(batch.column("text_").to_pylist()) for m in index.matches(t)]
+            if rows:
+                at, ids, start, s = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns[:-1]), pa.array(ids, type=pa.int64()), pa.array(start, type=pa.int64()), pa.array(s, type=pa.float64())], names=kind.names)
+
+    return few.mapInArrow(run, kind)
+
+
+def benchmark_matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """A row for each row of ``docs`` and item that match: ``key``, ``item``, start_word and similarity."""
+    if key == item:
+        raise ValueError("documents and items need keys of different names")
+    held = _Items(items, item, item_text)
+    few = docs.select(F.col(key).alias("key_"), F.col(text).cast("string").alias("text_"))
+    if held.blocks == 1:
+        found = _matched(few, held.index(0))
+    else:
+        near = held.near(few)
+        found = None
+        for b in range(held.blocks):  # over the few documents that share a shingle with the block
+            made = held.scratch.save(_matched(near.where(F.array_contains("blocks_", b)).select("key_", "text_"), held.index(b)))
+            found = made if found is None else found.unionByName(made)
+    return found.join(held.owners, "no_").select(F.col("key_").alias(key), F.col("item_").alias(item), "start_word", "similarity")
+
+
+def without_benchmark(docs: DataFrame, items: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that match no item."""
-    bounded_batches(docs.sparkSession)
-    for block in item_blocks(items, item, text):
-        index = ItemIndex(block)
-        clean = per_text(lambda t, index=index: not index.matches(t), T.BooleanType(), pa.bool_(), "decontamination")
-        docs = docs.where(clean(F.col(text)))
-    return docs
+    held = _Items(items, item, item_text)
+    if held.blocks == 1:
+        index = held.index(0)
+        return docs.where(per_text(lambda t: not index.matches(t), T.BooleanType(), pa.bool_(), "decontamination")(F.col(text)))
+    near = held.near(docs.select(F.col(text).cast("string").alias("text_")).distinct())
+    gone = None
+    for b in range(held.blocks):
+        made = held.scratch.save(_matched(near.where(F.array_contains("blocks_", b)).select("digest_", "text_"), held.index(b)).select(F.col("digest_").alias("gone_")).distinct())
+        gone = made if gone is None else gone.unionByName(made)
+    gone = held.scratch.save(gone.distinct())
+    return docs.join(if_few(gone), F.md5(F.col(text).cast("string")) == gone.gone_, "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
