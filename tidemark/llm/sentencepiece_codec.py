@@ -8,8 +8,10 @@ time linear in the text, also without any white space, and equals the library's
 Pieces that share one score (runs of spaces) have no rank among themselves. They have the lowest score, so they merge
 after all others, leftmost first, on the tokens that the table gives.
 
-Null text is empty, an empty text has no ids. Texts are never cut: very long ones go through in blocks that end where
-no piece can cross.
+A model whose pieces aren't all made of pieces of higher score has no such table; ``has_table`` says so, and such a model
+is merged best first instead. Null text is empty, an empty text has no ids. Texts are never cut: very long ones go through in
+blocks that end where no piece can cross. Repeated rows are rows of their own, an empty table gives no rows, and columns that
+aren't asked for don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -95,6 +97,8 @@ class PieceModel:
         #: Whether every piece is made of pieces of higher score, as the table needs.
         self.has_table = ordered
         self.code_ids = [[self.ids[p]] if p in self.ids else [self.byte_id[b] for b in p.encode()] for p in self.text]
+        self.code_bytes = [array("i", ids).tobytes() for ids in self.code_ids]
+        self.length = [len(p) for p in self.text]
         self.automaton = ahocorasick.Automaton()
         for p, k in code.items():
             self.automaton.add_word(p, (k, len(p)))
@@ -116,31 +120,26 @@ class PieceModel:
         return kept if len(kept) == stop else []
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether the encoding of the texts of two tokens, side by side, is just these two."""
-        pair, left, right, base = self.pair, self.left, self.right, self.n_base
-        limit = len(self.text)
-        while True:
-            if pair.get((a, b), limit) < limit:
-                return False
-            if a > b:
-                limit = a
-                if a < base:
-                    return True
-                a = right[a]
-            elif b >= base:
-                limit = b + 1
-                b = left[b]
-            elif a >= base:
-                limit = a
-                a = right[a]
-            else:
+        """Whether the encoding of the texts of two tokens, side by side, is just these two.
+
+        Undo the merges of both tokens, last one first: codes grow with the order of merging. What faces the other side at any
+        time must not have merged across the border before the next undone merge had been made. The idea is that of known
+        pair tests for byte-pair encodings."""
+        merged, left, right, base = self.pair, self.left, self.right, self.n_base
+        undone = len(self.text)  # the merge undone last; nothing across the border may come before it
+        while merged.get((a, b), undone) >= undone:
+            if a < base and b < base:
                 return True
+            if a > b:
+                undone, a = a, right[a]
+            else:  # of two equal tokens the right one is made later
+                undone, b = b + 1, left[b]
+        return False
 
     def _codes(self, span: str) -> list[int]:
         """Codes of the tokens of ``span``; characters that no piece holds have code -1 - code point."""
         n = len(span)
         last: list[int | None] = [None] * (n + 1)
-        size = [1] * (n + 1)
         known, codes = self.known, len(self.text)
         if len(known) >= PAIRS:
             known.clear()
@@ -160,18 +159,18 @@ class PieceModel:
                     ok = known.get(key := before * codes + code)
                     if ok is None:
                         ok = known[key] = self.compatible(before, code)
+                    if ok:
+                        last[stop] = code
                 else:
-                    ok = True
-                if ok:
                     last[stop] = code
-                    size[stop] = length
         if None in last:
             last[1:] = [-1 - ord(c) if k is None else k for k, c in zip(last[1:], span, strict=True)]
         out = []
+        sizes = self.length
         i = n
         while i:
-            out.append(last[i])
-            i -= size[i]
+            out.append(c := last[i])
+            i -= sizes[c] if c >= 0 else 1
         out.reverse()
         return out
 
@@ -204,21 +203,20 @@ class PieceModel:
         i = self.ids.get(piece)
         return [i] if i is not None else [self.byte_id[b] for b in piece.encode()]
 
-    def encode_span(self, span: str) -> list[int]:
-        """Ids of normalized text."""
+    def packed_span(self, span: str) -> bytes:
+        """Ids of normalized text as int32."""
         if not self.has_table:
-            return [i for p in self.agenda([*span], self.score) for i in self._ids_of(p)]
+            return array("i", [i for p in self.agenda([*span], self.score) for i in self._ids_of(p)]).tobytes()
         codes = self._codes(span)
-        if self.tied and any(p in span for p in self.least_tied):
-            parts = [self.text[c] if c >= 0 else chr(-1 - c) for c in codes]
-            return [i for p in self.agenda(parts, {p: self.score[p] for p in self.tied}) for i in self._ids_of(p)]
-        out: list[int] = []
-        for c in codes:
-            if c >= 0:
-                out += self.code_ids[c]
-            else:
-                out += [self.byte_id[b] for b in chr(-1 - c).encode()]
-        return out
+        for tied in self.least_tied:
+            if tied in span:
+                parts = [self.text[c] if c >= 0 else chr(-1 - c) for c in codes]
+                return array("i", [i for p in self.agenda(parts, {p: self.score[p] for p in self.tied}) for i in self._ids_of(p)]).tobytes()
+        held = self.code_bytes
+        return b"".join([held[c] if c >= 0 else array("i", [self.byte_id[b] for b in chr(-1 - c).encode()]).tobytes() for c in codes])
+
+    def encode_span(self, span: str) -> list[int]:
+        return np.frombuffer(self.packed_span(span), dtype=np.int32).tolist()
 
     def blocks(self, normalized: str) -> Iterator[str]:
         """Cuts that no piece crosses, every million characters or so."""
@@ -236,7 +234,7 @@ class PieceModel:
     def _remember(self, key: str, span: str) -> bytes:
         ids = self.older.get(key)
         if ids is None:
-            ids = array("i", self.encode_span(span)).tobytes()
+            ids = self.packed_span(span)
         if len(key) <= 48:
             if len(self.remembered) >= REMEMBERED:
                 self.older, self.remembered = self.remembered, {}
@@ -246,10 +244,10 @@ class PieceModel:
     def _packed_block(self, block: str) -> bytes:
         get, find = self.remembered.get, self._remember
         if not self.by_space:
-            return array("i", self.encode_span(block)).tobytes()
+            return self.packed_span(block)
         if block.startswith(SPACE) and SPACE * 2 not in block:  # words go by their letters, which takes less memory
             return b"".join([get(w) or find(w, SPACE + w) for w in block[1:].split(SPACE)])
-        return b"".join([get(w) or find(w, w) if w[0] == SPACE else array("i", self.encode_span(w)).tobytes() for w in WORDS.findall(block)])
+        return b"".join([get(w) or find(w, w) if w[0] == SPACE else self.packed_span(w) for w in WORDS.findall(block)])
 
     def encode_packed(self, text: str | None) -> bytes:
         """Ids as little-endian int32."""
