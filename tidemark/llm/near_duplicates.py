@@ -6,13 +6,14 @@ coordinates put sets into buckets: two sets at the threshold of 0.8 share none w
 million. Sets in a bucket are compared in full; links join components.
 
 Equal sets are one class first, whatever their number. In a bucket, the smallest member meets all others; where that links
-them all, as it does in most, the bucket is done. The sets of the other buckets come together in blocks, in which exact
-intersections of all members are a matrix product, and only edges that join them leave the task. So no pairs are written
-out and no link between different sets of a bucket is lost.
+them all, as it does in most, the bucket is done. The sets of the other buckets come together in blocks, of a bounded number
+of members and of bytes, in which exact intersections of all members are a matrix product, and only edges that join them
+leave the task. So no pairs are written out and no link between different sets of a bucket is lost.
 
 Texts with fewer than k words have one shingle of them all; null texts and texts without words have the empty set and are
 linked with nothing. Rows that share an id are one document. A null id is never linked: its component is null, and it is
-kept. An empty table gives no rows.
+kept. An empty table gives no rows. Texts of any length are taken whole; a task that compares holds two blocks of sets, or
+two sets, if these are longer. Columns besides the two named don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from tidemark.llm.common import Scratch, if_few, remembers, slices, table, take_
 from tidemark.llm.components import components
 
 ROWS, BANDS = 5, 40
-#: Members of a bucket that are compared in one matrix product.
-BLOCK = 1024
+#: Members of a bucket that are compared in one matrix product, and bytes of their sets, on an average.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 REMEMBERED = 200_000
 _words: dict[bytes, int] = {}
 remembers("near_duplicates", _words.clear)
@@ -206,13 +207,13 @@ def _within_buckets(rest: DataFrame, linked: DataFrame, sets: DataFrame, percent
     all intersections are one matrix product. Only a spanning set of edges leaves the task, never pairs.
     """
     ok = linked.select(F.col("u").alias("pivot"), F.col("v").alias("rep"), F.lit(True).alias("ok"))
-    members = rest.where("rep <> pivot").join(ok, ["pivot", "rep"], "left").select("band", "rep", F.coalesce("ok", F.lit(False)).alias("ok"))
-    sizes = members.groupBy("band").agg(F.count("*").alias("m"), F.sum(F.col("ok").cast("long")).alias("n_ok"), F.sum(F.pmod(F.xxhash64("rep", "ok"), F.lit(1 << 40))).alias("of"))
+    members = rest.where("rep <> pivot").join(ok, ["pivot", "rep"], "left").select("band", "rep", "n_", F.coalesce("ok", F.lit(False)).alias("ok"))
+    sizes = members.groupBy("band").agg(F.count("*").alias("m"), F.sum("n_").alias("n_"), F.sum(F.col("ok").cast("long")).alias("n_ok"), F.sum(F.pmod(F.xxhash64("rep", "ok"), F.lit(1 << 40))).alias("of"))
     # several bands often hold the same members
-    mixed = sizes.where("m > 1 and n_ok < m").groupBy("m", "n_ok", "of").agg(F.min("band").alias("band")).select("band", "m")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    mixed = sizes.where("m > 1 and n_ok < m").groupBy("m", "n_", "n_ok", "of").agg(F.min("band").alias("band"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n_") * 8 / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.hash("rep"), F.col("blocks")).cast("int")
-    dealt = members.join(mixed, "band").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = members.drop("n_").join(mixed.select("band", blocks.alias("blocks")), "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # one block's pairs within itself, and those with every other block
     dealt = dealt.select("band", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "rep", "ok", (F.col("own") > F.col("other")).alias("side"))
     full = dealt.join(sets.withColumnRenamed("id_", "rep"), "rep").repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj")
@@ -226,8 +227,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str
     few = docs.select(F.col(key).cast("long").alias("id_"), F.col(text).cast("string").alias("text_"))
     signed = scratch.save(few.mapInArrow(lambda it: _signed(it, k), "id_ long, n_ long, digest_ binary, bands_ array<long>"))
     classes = scratch.save(signed.where("digest_ is not null and id_ is not null").groupBy("digest_").agg(F.min("id_").alias("rep_")))
-    first = signed.select("id_", "bands_").join(classes.select(F.col("rep_").alias("id_")), "id_", "left_semi")
-    buckets = first.select(F.col("id_").alias("rep"), F.explode("bands_").alias("band")).distinct()
+    first = signed.select("id_", "n_", "bands_").join(classes.select(F.col("rep_").alias("id_")), "id_", "left_semi")
+    # rows that share an id may have several sets; the longest one counts for what a block holds
+    buckets = first.select(F.col("id_").alias("rep"), "n_", F.explode("bands_").alias("band")).groupBy("rep", "band").agg(F.max("n_").alias("n_"))
     least = buckets.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m")
     rest = scratch.save(buckets.join(least, "band"))  # buckets of two or more
     pairs = scratch.save(rest.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct())
@@ -236,6 +238,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str
     linked = scratch.save(_linked(pairs, sets, percent))
     edges = linked.unionByName(_within_buckets(rest, linked, sets, percent))
     comps = components(edges, scratch)
+    scratch.drop(rest, pairs, active, sets, linked)
     of = classes.join(comps, F.col("rep_") == F.col("node"), "left").select("digest_", F.coalesce("comp", "rep_").alias("comp_"))
     # rows that share an id are one document, with the smallest component of its texts
     return signed.join(of, "digest_", "left").select("id_", F.col("n_").alias("n_shingles"), F.when(F.col("id_").isNotNull(), F.coalesce("comp_", "id_")).alias("component_id"))
