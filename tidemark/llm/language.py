@@ -6,9 +6,11 @@ rank differences, ``PROFILE`` for n-grams that the profile lacks) is its languag
 is one less the distance over its largest value.
 
 Profiles are learned from a bounded sample: ``SAMPLE`` labelled texts a language in expectation, chosen by a hash of the
-id, each distinct text once. Rows with a null language or text teach nothing. Texts that are null or have no letters get
-``und`` and the score 0, as does everything when there is nothing to learn from. Very long texts are counted in blocks,
-wholly.
+id, each distinct text once. Where a column has more than ``LANGUAGES`` of them, the most frequent ones have profiles, ties
+by name; texts marked as another get one of these, like any text. Rows with a null language or text teach nothing. Texts that
+are null or have no letters get ``und`` and the score 0, as does everything when there is nothing to learn from. Very long
+texts are counted in blocks, wholly. Repeated rows are rows of their own, empty tables give no rows, and columns that aren't
+asked for don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import Scratch, bounded_batches, crc32_of_id, slices, table
 
-PROFILE, SAMPLE, SIZES = 300, 400, (1, 2, 3)
+PROFILE, SAMPLE, LANGUAGES, SIZES = 300, 400, 1000, (1, 2, 3)
 BLOCK = 1 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 NONE = "und"
@@ -119,11 +121,10 @@ def learn_profiles(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """Profiles of the languages of ``docs``."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key_"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    there = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    if not there:
-        return Profiles({})
-    share = F.coalesce(F.create_map(*[F.lit(x) for k, n in there.items() for x in (k, SAMPLE / n)])[F.col("lang")], F.lit(0.0))
-    some = scratch.save(rows.where(F.pmod(F.xxhash64("key_"), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang").distinct())
+    # a row a language, a bounded number
+    there = scratch.save(rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES))
+    chosen = rows.join(F.broadcast(there), "lang").where(F.pmod(F.xxhash64("key_"), F.lit(1_000_000)) * F.col("n") < SAMPLE * 1_000_000)
+    some = scratch.save(chosen.select("text", "lang").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -143,7 +144,7 @@ def learn_profiles(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     ranked: dict[str, list[int]] = {}
     for r in sorted(top.select("lang", "code", "r").collect(), key=lambda r: (r.lang, r.r)):
         ranked.setdefault(r.lang, []).append(r.code % (1 << 64))
-    scratch.drop(some)
+    scratch.drop(some, there)
     return Profiles(ranked)
 
 
