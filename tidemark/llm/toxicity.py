@@ -11,7 +11,9 @@ words around a hit that clean texts repeat and toxic ones don't. Learning takes
 ``MOST_CLEAN`` rows in expectation, chosen by a hash of the id; classes are weighed back to their true shares.
 
 Rows without a label or with a null one teach nothing; a document with several labels counts as toxic from a mean of one
-half. Null and empty texts have no hits and get the score of such texts. Without labels every score is 0.
+half. Rows of documents that share a labelled id, and repeated rows, teach as often as they occur. Null and empty texts have
+no hits and get the score of such texts. Without labels, or without documents, every score is 0. Texts of any length are
+folded and matched whole. A column that has the name asked for the score is replaced; others stay.
 """
 
 from __future__ import annotations
@@ -223,7 +225,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             made = [model.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], type=pa.float64()), pa.array([b for _, b in made], type=pa.float64()), batch.column("toxic")], names=["a", "b", "toxic"])
 
-    got = held.mapInArrow(features, "a double, b double, toxic boolean").orderBy("toxic", "a", "b").collect()
+    got = held.mapInArrow(features, "a double, b double, toxic boolean").collect()  # bounded by the two parameters
+    got.sort(key=lambda r: (r.toxic, r.a, r.b))  # so that sums don't depend on partitions
     y = np.array([r.toxic for r in got], dtype=float)
     weight = np.where(y == 1, there[True] / n[True], there[False] / n[False]) * len(y) / (there[True] + there[False])
     model.logistic = fit_logistic(np.array([(r.a, r.b) for r in got]), y, weight)
