@@ -4,7 +4,9 @@ Kinds, in their order: ``assign`` (a keyword, a colon or equals sign and a value
 (AKIA keys of 18 or more), ``hex`` (lower-case runs of 16 or more), ``github`` and ``npm`` (prefixed tokens whose last
 six characters are the base-62 CRC-32 of the 30 before them; others with the prefix are dropped). Matches of a kind are
 leftmost and don't overlap; a match that fails its length is dropped but still consumes its characters. Spans count code
-points and exclude their end. Null and empty texts have no spans; texts of any length are scanned whole.
+points and exclude their end. ``hex`` has no keyword that a prefilter could look for, so its expression runs over the text.
+Null and empty texts have no spans; texts of any length are scanned whole. Repeated rows are rows of their own, an empty table
+gives no rows, and columns that aren't asked for don't matter, whatever their names.
 """
 
 from __future__ import annotations
