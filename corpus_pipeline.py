@@ -35,6 +35,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_"))
     kept = made.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row_").alias("row_"))
     gone = scratch.save(made.select("row_").join(kept, "row_", "left_anti").select(F.col("row_").alias("gone_")))
+    scratch.drop(made)
     return rows.join(if_few(gone), rows.row_ == gone.gone_, "left_anti").select(*COLUMNS)
 
 
@@ -67,7 +68,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = scratch.save(docs)
+            made = scratch.save(made)
+            scratch.drop(docs)  # the next stage reads what was written, and nothing else does
+        docs = made
     return docs
