@@ -473,6 +473,20 @@ def test_builds_shuffle_cells_not_keys(spark, zipf):
         assert len(found) == 1 and f"hashpartitioning({name}" in found[0] or f", {name}" in found[0], found
 
 
+def test_sketches_of_any_kind_keep_their_configuration(spark, zipf, tmp_path):
+    config = universal.UnivConfig(layers=4, rows=3, cols=64, k=8)
+    built = universal.build(zipf, "key", config)
+    tables.save_sketch(built, config, str(tmp_path / "u"))
+    back, found = tables.load_sketch(spark, str(tmp_path / "u"))
+    assert found == config and {tuple(r) for r in universal.ask(back, found).collect()} == {tuple(r) for r in universal.ask(built, config).collect()}
+    tables.save_sketch(cardinality.hll(zipf, "key", p=10), {"p": 10}, str(tmp_path / "h"))
+    back, found = tables.load_sketch(spark, str(tmp_path / "h"))
+    assert cardinality.hll_classic(back, **found).first() == cardinality.hll_classic(cardinality.hll(zipf, "key", p=10), p=10).first()
+    for wrong in ({"p": 12}, config):
+        with pytest.raises(ValueError):
+            tables.load_sketch(spark, str(tmp_path / "h"), wrong)
+
+
 def run_stream(spark, out, name, mode):
     q = out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(120)

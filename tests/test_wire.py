@@ -88,6 +88,7 @@ def test_portable_forms_travel(spark):
         ("count_sketch", portable.with_heap(cms, heap, "k", by=["g"]), shape),
         ("ddsketch", dd.select("g", "bucket", "cnt"), {"alpha": 0.01}),
         ("kll", kll, {"k": 200}),
+        ("kmv", cardinality.kmv(df, "k", k=4, by="g"), {"k": 4}),
         ("set", sets.members(df, "k", by="g"), {}),
         ("set_delta", sets.difference(sets.members(df.where("v < 5"), "k", by="g"), sets.members(df.where("v > 2 and v < 8"), "k", by="g"), by="g"), {}),
         ("matrix_delta", matrix.delta(cms, half, by="g"), shape),

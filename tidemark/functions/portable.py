@@ -144,6 +144,8 @@ FORMS: dict[str, Form] = {
     "kll": Form(("kll",), "kll binary", lambda t, s: [s["k"], t.column("kll")[0].as_py()], _kll_rows),
     # rows, cols, rows of (k, bytes); cells without values have no bytes
     "hydra_kll": Form(("hrow", "hcol", "kll"), "hrow int, hcol long, kll binary", _hydra, _hydra_rows),
+    # k, hashes in order
+    "kmv": Form(("hash",), "hash long", lambda t, s: [s["k"], sorted(*_lists(t, "hash"))], lambda x: {"hash": _fields(x, 2)[1]}),
     # members
     "set": Form(("member",), "member string", lambda t, s: [sorted(*_lists(t, "member"))], lambda x: {"member": _fields(x, 1)[0]}),
     # members added, members removed

@@ -74,3 +74,8 @@ def rebuild(sketch: DataFrame, config: MatrixConfig, hh_keys: DataFrame, key: st
     estimated on the new sketch: heavy hitters that arrive as changed cells and key names alone."""
     whole = sketch if change is None else matrix.apply_delta(sketch, change)
     return whole, from_sketch(whole, hh_keys, key, k, config)
+
+
+def from_folded(folded: DataFrame, candidates: DataFrame, key: str, k: int, config: MatrixConfig, *, by: Sequence[str] | str | None = None) -> DataFrame:
+    """(groups..., key, est): the k best candidates by a folded sketch, which estimates what the unfolded one does."""
+    return from_sketch(folded.drop("fold_col"), candidates, key, k, config, by=by)

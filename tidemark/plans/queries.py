@@ -238,6 +238,19 @@ def fold_cs_query(s, d):
     return matrix.query(matrix.unfold(folded, FOLD_CS).drop("fold_col"), e, "user_id", FOLD_CS).withColumn("est", F.col("est").cast("long"))
 
 
+@query(f"WITH {S.matrix('events', 'user_id', 3, 4096, fast=False)} SELECT user_id, est FROM ({S.estimates('user_id')}) ORDER BY est DESC, user_id LIMIT 12")
+def fold_cms_topk(s, d):
+    e = events(s, d)
+    return topk.from_folded(matrix.fold(matrix.build(e, "user_id", FOLD), FOLD, 4), e, "user_id", 12, FOLD)
+
+
+@query(f"WITH {S.matrix('events', 'user_id', 3, 2048, weight='value').replace('AS BIGINT) AS w', 'AS DOUBLE) AS w').replace('AS BIGINT) AS cnt', 'AS DOUBLE) AS cnt')} SELECT user_id, round(est, 4) AS est FROM ({S.estimates('user_id')})")
+def cms_doubles(s, d):
+    """Counters of doubles."""
+    e = events(s, d)
+    return matrix.query(matrix.build(e, "user_id", CMS, weight="value"), e, "user_id", CMS).withColumn("est", F.round("est", 4))
+
+
 # Heavy hitters
 
 
