@@ -519,7 +519,7 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
     return subpopulation.subsets(table(s, d, "orders"), DIMS, [F.count("*").alias("nn")]).select("subset")
 
 
-_SUM = f"f AS ({S.subsets('orders', DIMS, 'count(*) AS n, CAST(sum(CAST(o_totalprice * 100 AS BIGINT)) AS BIGINT) AS cents')}), g AS (SELECT hrow, hcol, CAST(sum(n) AS BIGINT) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM ({S.grid('f', 'n, cents', cols=64)}) GROUP BY hrow, hcol), a AS ({S.grid('(SELECT DISTINCT subset FROM f)', 'subset', cols=64)})"
+_SUM = f"f AS ({S.subsets('orders', DIMS, 'count(*) AS n, CAST(sum(CAST(o_totalprice * 100 AS BIGINT)) AS BIGINT) AS cents')}), g AS (SELECT hrow, hcol, CAST(sum(n) AS BIGINT) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM ({S.grid('f', 'n, cents', cols=64, fast=True)}) GROUP BY hrow, hcol), a AS ({S.grid('(SELECT DISTINCT subset FROM f)', 'subset', cols=64, fast=True)})"
 
 
 @query(f"WITH {_SUM} SELECT subset, median(coalesce(n, 0)) AS n FROM a LEFT JOIN g ON a.hrow = g.hrow AND a.hcol = g.hcol GROUP BY subset")
@@ -536,7 +536,7 @@ def multihead_hydra(s, d):
 
 _CARD = (
     f"h AS (SELECT *, md5(CAST(o_custkey AS VARCHAR)) AS h FROM orders), k AS (SELECT *, {S.reg(12)} AS reg, {S.rho(12)} AS rho0 FROM h), f AS ({S.subsets('k', DIMS, 'max(rho0) AS rho', 'reg')}), "
-    f"g AS (SELECT hrow, hcol, reg, max(rho) AS rho FROM ({S.grid('f', 'reg, rho', cols=64)}) GROUP BY hrow, hcol, reg), c AS ({S.hll_classic('g', p=12, by='hrow, hcol')}), a AS ({S.grid('(SELECT DISTINCT subset FROM f)', 'subset', cols=64)})"
+    f"g AS (SELECT hrow, hcol, reg, max(rho) AS rho FROM ({S.grid('f', 'reg, rho', cols=64, fast=True)}) GROUP BY hrow, hcol, reg), c AS ({S.hll_classic('g', p=12, by='hrow, hcol')}), a AS ({S.grid('(SELECT DISTINCT subset FROM f)', 'subset', cols=64, fast=True)})"
 )
 
 
@@ -545,7 +545,7 @@ def hydra_card(s, d):
     return subpopulation.query_distinct(subpopulation.distinct(table(s, d, "orders"), DIMS, "o_custkey", grid=WIDE), _asked(s, d), grid=WIDE)
 
 
-_VALUES = f"f AS ({S.subsets('(SELECT *, floor(o_totalprice / 1000) AS v FROM orders)', DIMS, 'count(*) AS w', 'v')}), g AS (SELECT hrow, hcol, v, sum(w) AS w FROM ({S.grid('f', 'v, w', cols=64)}) GROUP BY hrow, hcol, v), a AS ({S.grid('(SELECT DISTINCT subset FROM f)', 'subset', cols=64)})"
+_VALUES = f"f AS ({S.subsets('(SELECT *, floor(o_totalprice / 1000) AS v FROM orders)', DIMS, 'count(*) AS w', 'v')}), g AS (SELECT hrow, hcol, v, sum(w) AS w FROM ({S.grid('f', 'v, w', cols=64, fast=True)}) GROUP BY hrow, hcol, v), a AS ({S.grid('(SELECT DISTINCT subset FROM f)', 'subset', cols=64, fast=True)})"
 
 
 @query(
@@ -584,7 +584,7 @@ def hydra_card_merge(s, d):
 
 _DD_CELLS = (
     f"f AS ({S.subsets('(SELECT *, CAST(floor(ln(o_totalprice) * ' + repr(INV) + ') AS INTEGER) AS bucket FROM orders WHERE o_totalprice > 0)', DIMS, 'count(*) AS cnt, min(o_totalprice) AS lo, max(o_totalprice) AS hi', 'bucket')}), "
-    f"k AS (SELECT hrow, hcol, bucket, CAST(sum(cnt) AS BIGINT) AS cnt, min(lo) AS lo, max(hi) AS hi FROM ({S.grid('f', 'bucket, cnt, lo, hi', cols=64)}) GROUP BY ALL), a AS ({S.grid('(SELECT DISTINCT subset FROM f)', 'subset', cols=64)})"
+    f"k AS (SELECT hrow, hcol, bucket, CAST(sum(cnt) AS BIGINT) AS cnt, min(lo) AS lo, max(hi) AS hi FROM ({S.grid('f', 'bucket, cnt, lo, hi', cols=64, fast=True)}) GROUP BY ALL), a AS ({S.grid('(SELECT DISTINCT subset FROM f)', 'subset', cols=64, fast=True)})"
 )
 
 
@@ -610,8 +610,8 @@ def hydra_kll_quantile(s, d):
 
 
 SMALL_UNIV = universal.UnivConfig(layers=3, rows=3, cols=256, k=64)
-_CELLS_OF = f"(SELECT * FROM ({S.grid('(' + S.subsets('(SELECT *, o_custkey % 50 AS cust FROM orders)', DIMS, 'count(*) AS w', 'cust') + ')', 'cust, w', cols=64)}))"
-_UNIV_CELLS = f"{S.layered(_CELLS_OF, 'cust', 3, 3, 256, 64, by=['hrow', 'hcol'], weight='w')}, a AS ({S.grid('(SELECT DISTINCT subset FROM (' + S.subsets('orders', DIMS, 'count(*) AS n') + '))', 'subset', cols=64)}), m AS ({S.layered_metrics(3, by=['hrow', 'hcol'])})"
+_CELLS_OF = f"(SELECT * FROM ({S.grid('(' + S.subsets('(SELECT *, o_custkey % 50 AS cust FROM orders)', DIMS, 'count(*) AS w', 'cust') + ')', 'cust, w', cols=64, fast=True)}))"
+_UNIV_CELLS = f"{S.layered(_CELLS_OF, 'cust', 3, 3, 256, 64, by=['hrow', 'hcol'], weight='w')}, a AS ({S.grid('(SELECT DISTINCT subset FROM (' + S.subsets('orders', DIMS, 'count(*) AS n') + '))', 'subset', cols=64, fast=True)}), m AS ({S.layered_metrics(3, by=['hrow', 'hcol'])})"
 
 
 def _univ_cells(s: SparkSession, d: str) -> DataFrame:

@@ -173,6 +173,9 @@ def subsets(source: str, dims: list[str], measures: str, keep: str = "") -> str:
     return " UNION ALL ".join(out)
 
 
-def grid(given: str, columns: str, rows: int = 3, cols: int = 32, salt: str = "hydra") -> str:
+def grid(given: str, columns: str, rows: int = 3, cols: int = 32, salt: str = "hydra", fast: bool = False) -> str:
     """(hrow, hcol, columns) of a relation with a subset."""
-    return f"SELECT hrow, {fast_col('hrow', cols)} AS hcol, {columns} FROM (SELECT *, md5('{salt}' || subset) AS h FROM {given}), (SELECT unnest(range({rows})) AS hrow)"
+    if fast:
+        return f"SELECT hrow, {fast_col('hrow', cols)} AS hcol, {columns} FROM (SELECT *, md5('{salt}' || subset) AS h FROM {given}), (SELECT unnest(range({rows})) AS hrow)"
+    h = f"md5('{salt}' || hrow || ':' || subset)"
+    return f"SELECT hrow, {hex_slice(h, 1, 8)} % {cols} AS hcol, {columns} FROM {given}, (SELECT unnest(range({rows})) AS hrow)"
