@@ -1,7 +1,7 @@
 """Hash profiles as column expressions.
 
 ``md5``: slices of one md5 digest of the key, or one digest for each row of a matrix; any SQL engine gives the same
-numbers. ``xxhash64``: Spark's built-in hash, several times faster. All slices stay below 2^52, so they are positive and
+numbers. ``xxhash64``: Spark's built-in hash, without any text of digits. All slices stay below 2^52, so they are positive and
 exact as doubles. Keys are hashed by their canonical text; null keys are filtered before any sketch.
 """
 

@@ -86,21 +86,26 @@ def holes(s: SparkSession, d: str) -> DataFrame:
     return events(s, d).withColumn("event_type", F.nullif("event_type", F.lit("click")))
 
 
-@query(f"WITH {S.matrix(_HOLES, 'user_id', 3, 2048, by='event_type')} {S.estimates('user_id', by='event_type')}")
+def named(df: DataFrame) -> DataFrame:
+    """The null group by a name, since engines hand nulls over differently."""
+    return df.withColumn("event_type", F.coalesce("event_type", F.lit("(none)")))
+
+
+@query(f"WITH {S.matrix(_HOLES, 'user_id', 3, 2048, by='event_type')} SELECT * REPLACE (coalesce(event_type, '(none)') AS event_type) FROM ({S.estimates('user_id', by='event_type')})")
 def cms_per_group_nulls(s, d):
     e = holes(s, d)
-    return matrix.query(matrix.build(e, "user_id", CMS, by="event_type"), e, "user_id", CMS, by="event_type")
+    return named(matrix.query(matrix.build(e, "user_id", CMS, by="event_type"), e, "user_id", CMS, by="event_type"))
 
 
 @query(
     f"WITH a AS (WITH {S.matrix(_HOLES, 'user_id', 3, 2048, by='event_type')} SELECT * FROM s), p AS (WITH e AS (SELECT * FROM {_HOLES} WHERE ts < TIMESTAMP '{HALF}'), {S.matrix('e', 'user_id', 3, 2048, by='event_type')} SELECT * FROM s) "
-    "SELECT coalesce(a.event_type, p.event_type) AS event_type, CAST(coalesce(a.row, p.row) AS BIGINT) AS row, coalesce(a.col, p.col) AS col, coalesce(a.cnt, 0) - coalesce(p.cnt, 0) AS cnt "
+    "SELECT coalesce(a.event_type, p.event_type, '(none)') AS event_type, CAST(coalesce(a.row, p.row) AS BIGINT) AS row, coalesce(a.col, p.col) AS col, coalesce(a.cnt, 0) - coalesce(p.cnt, 0) AS cnt "
     "FROM a FULL JOIN p ON a.event_type IS NOT DISTINCT FROM p.event_type AND a.row = p.row AND a.col = p.col WHERE abs(coalesce(a.cnt, 0) - coalesce(p.cnt, 0)) >= 3"
 )
 def cms_delta_by_group_nulls(s, d):
     e = holes(s, d)
     sketches = [matrix.build(x, "user_id", CMS, by="event_type") for x in (e, e.where(F.col("ts") < HALF))]
-    return longs(matrix.delta(*sketches, threshold=3, by="event_type"), "row", "col")
+    return named(longs(matrix.delta(*sketches, threshold=3, by="event_type"), "row", "col"))
 
 
 _DELTA = (
@@ -479,10 +484,10 @@ def uniform_sample_by_group(s, d):
 
 
 @query(
-    f"SELECT event_type, event_id, prio, n AS seen FROM (SELECT event_type, event_id, {S.hex_slice('md5(CAST(event_id AS VARCHAR))', 1, 13)} AS prio, row_number() OVER (PARTITION BY event_type ORDER BY {S.hex_slice('md5(CAST(event_id AS VARCHAR))', 1, 13)}, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM {_HOLES}) WHERE r <= ceil(0.05 * n)"
+    f"SELECT coalesce(event_type, '(none)') AS event_type, event_id, prio, n AS seen FROM (SELECT event_type, event_id, {S.hex_slice('md5(CAST(event_id AS VARCHAR))', 1, 13)} AS prio, row_number() OVER (PARTITION BY event_type ORDER BY {S.hex_slice('md5(CAST(event_id AS VARCHAR))', 1, 13)}, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM {_HOLES}) WHERE r <= ceil(0.05 * n)"
 )
 def uniform_sample_nulls(s, d):
-    return quantiles.uniform_sample(holes(s, d), "event_id", 0.05, by="event_type", total="seen").select("event_type", "event_id", "prio", "seen")
+    return named(quantiles.uniform_sample(holes(s, d), "event_id", 0.05, by="event_type", total="seen").select("event_type", "event_id", "prio", "seen"))
 
 
 @query(
