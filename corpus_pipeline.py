@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import decontamination, near_duplicates, secrets, sentencepiece_codec, toxicity
 from tidemark.llm.common import Scratch, if_few, per_text, table
+from tidemark.sources.scratch import passing
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -68,9 +69,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            made = scratch.save(made)
-            scratch.drop(docs)  # the next stage reads what was written, and nothing else does
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with passing():  # the next stage reads what is written here, and nothing of what was made on the way
+            made = scratch.save(stage(spark, docs, sf_dir))
+        scratch.drop(docs)
         docs = made
     return docs

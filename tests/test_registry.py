@@ -56,3 +56,18 @@ def test_one_shot_aggregates(df):
     assert registry.aggregate_sum(df, "k", "g").agg(F.sum("cnt")).first()[0] == 3 * 300
     assert registry.aggregate_topk(df, "k", "v", 3).count() == 3
     assert registry.aggregate_keyed_kll(df, "k", "v").count() > 0
+
+
+def test_tables_made_on_the_way_go(spark):
+    from tidemark.sources import scratch
+
+    kept = scratch.Scratch(spark)
+    with scratch.passing():
+        way = scratch.Scratch(spark)
+        table = way.save(spark.range(5))
+        made = kept.save(table.selectExpr("id + 1 as id"))
+    assert made.count() == 5
+    with pytest.raises(Exception, match="not exist|NOT_EXIST|PATH_NOT_FOUND"):
+        spark.read.parquet(table._tidemark_path).count()
+    kept.drop(made)
+    kept.close()

@@ -10,6 +10,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,15 @@ class Scratch:
             self._delete(self.base)
 
 
+@contextlib.contextmanager
+def passing() -> Iterator[None]:
+    """Deletes at its end the tables of every Scratch that was made within: for work whose result has been written."""
+    before = [*_live]
+    yield
+    for s in [x for x in _live if x not in before]:
+        s.close()
+
+
 @atexit.register
 def clean() -> None:
     """Deletes the tables of every Scratch; results that were not written anywhere can't be read afterwards."""
