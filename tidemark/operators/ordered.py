@@ -242,7 +242,9 @@ def l1_buckets(df: DataFrame, time: str, *, k: int, window: float, by: Sequence[
     end before the window, which the newest row ends, go, and rows without a time.
 
     Rows are numbered from the newest by the counts of panes of ``pane`` seconds, and within a pane, so no task orders more
-    than one pane of a group. Rows of the same time have no order among them."""
+    than one pane of a group. Levels meet the numbered rows last, so that they are neither sorted nor shuffled with them, and
+    the ends of buckets, the oldest of which holds half of a group, are an aggregate. Rows of the same time have no order
+    among them."""
     if k < 1:
         raise ValueError("k is at least 1")
     by = groups.names(by)
@@ -251,13 +253,14 @@ def l1_buckets(df: DataFrame, time: str, *, k: int, window: float, by: Sequence[
     whole = Window.partitionBy(*(by or [F.lit(0)]))
     newer = F.sum("c_").over(whole.orderBy(F.desc("pane_"))) - F.col("c_")
     panes = panes.select(*by, "pane_", newer.alias("newer_"), F.sum("c_").over(whole).alias("n_"), F.max("m_").over(whole).alias("last_"))
-    panes = panes.withColumn("levels_", l1_levels(F.col("n_"), k))
-    ranked = groups.join(rows, panes, by, ["pane_"]).withColumn("r_", F.col("newer_") + F.row_number().over(Window.partitionBy(*by, "pane_").orderBy(F.desc("t_"))))
+    panes = panes.withColumn("levels_", l1_levels(F.col("n_"), k)).drop("n_")
+    ranked = rows.withColumn("i_", F.row_number().over(Window.partitionBy(*by, "pane_").orderBy(F.desc("t_"))))
+    met = groups.join(ranked, panes, by, ["pane_"]).withColumn("r_", F.col("newer_") + F.col("i_"))
     level = F.element_at(F.filter("levels_", lambda x: x["start"] < F.col("r_")), -1)
-    made = ranked.withColumn("l_", level).withColumn("bucket", F.col("l_.first") + F.floor((F.col("r_") - 1 - F.col("l_.start")) / F.col("l_.size")).cast("long"))
-    end = F.max("t_").over(Window.partitionBy(*by, "bucket"))
-    kept = made.withColumn("end_", end).where(F.col("end_") >= F.col("last_") - window)
-    return kept.drop("t_", "pane_", "newer_", "n_", "last_", "levels_", "r_", "l_", "end_")
+    made = met.withColumn("l_", level).withColumn("bucket", F.col("l_.first") + F.floor((F.col("r_") - 1 - F.col("l_.start")) / F.col("l_.size")).cast("long"))
+    made = made.drop("pane_", "newer_", "levels_", "i_", "r_", "l_")
+    live = made.groupBy(*by, "bucket").agg(F.max("t_").alias("end_"), F.max("last_").alias("z_")).where(F.col("end_") >= F.col("z_") - window).drop("end_", "z_")
+    return groups.join(made, live, by, ["bucket"], "left_semi").drop("t_", "last_")
 
 
 def exponential_histogram(df: DataFrame, group: str, time: str, *, k: int, window: float, value: str | None = None, norm: str = "l1") -> DataFrame:
