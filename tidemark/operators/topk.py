@@ -44,12 +44,14 @@ def from_sketch(sketch: DataFrame, candidates: DataFrame, key: str, k: int, conf
     return largest(est.withColumn("est", F.col("est").cast("long")), key, "est", k, by=by)
 
 
-def merge(sketches: Sequence[DataFrame], heaps: Sequence[DataFrame], key: str, k: int, config: MatrixConfig) -> tuple[DataFrame, DataFrame]:
-    """The merged sketch and the k best of all heaps' keys, estimated on it."""
+def merge(sketches: Sequence[DataFrame], candidates: Sequence[DataFrame], key: str, k: int, config: MatrixConfig) -> tuple[DataFrame, DataFrame]:
+    """The merged sketch and the k best of all candidates' keys, estimated on it. Candidates are rows with the key: what the
+    sketches were built of gives the k best of all keys; heaps give the best of what they kept, since a key below the end of
+    every heap may be among the best of the whole."""
     whole = matrix.merge(*sketches)
-    keys = heaps[0].select(key)
-    for h in heaps[1:]:
-        keys = keys.unionByName(h.select(key))
+    keys = candidates[0].select(key)
+    for c in candidates[1:]:
+        keys = keys.unionByName(c.select(key))
     return whole, from_sketch(whole, keys, key, k, config)
 
 
